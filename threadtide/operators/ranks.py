@@ -13,12 +13,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadtide.session import cut_lineage
 
-BUCKETS = 512
+MIN_BUCKETS, MAX_BUCKETS = 32, 4096
+
+
+def bucket_count(spark: SparkSession) -> int:
+    """Buckets of the value axis: a few per shuffle partition, so the work spreads over the cluster."""
+    wanted = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(MIN_BUCKETS, min(MAX_BUCKETS, wanted))
 
 
 def _bucket_of(value: Column, cuts: Column, buckets: int) -> Column:
@@ -29,7 +35,7 @@ def _bucket_of(value: Column, cuts: Column, buckets: int) -> Column:
         strides.append(step)
         step //= 2
     return F.aggregate(
-        F.array(*[F.lit(s) for s in strides]),
+        F.expr(f"array({', '.join(map(str, strides))})"),
         F.lit(0),
         lambda pos, stride: F.when(F.try_element_at(cuts, pos + stride) <= value, pos + stride).otherwise(pos),
     )
@@ -40,20 +46,21 @@ def ordered_counts(
     value: str,
     by: Sequence[str] = (),
     sums: dict[str, Column] | None = None,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """One row per distinct (by, value) with ``n``, the sums, and for each of them ``<x>_before``
     (total over smaller values of the group) and ``<x>_total``. NULL and NaN values are left out."""
     by = list(by)
     sums = sums or {}
+    buckets = buckets or bucket_count(df.sparkSession)
     v = F.col(value).cast("double")
     counts = (
         df.where(v.isNotNull() & ~F.isnan(v))
         .groupBy(*by, v.alias(value))
         .agg(F.count("*").alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
     )
-    grid = [i / buckets for i in range(1, buckets)]
-    cuts = counts.agg(F.percentile_approx(value, grid, 4 * buckets)).scalar()
+    grid = ", ".join(f"{i / buckets}D" for i in range(1, buckets))
+    cuts = counts.agg(F.expr(f"percentile_approx(`{value}`, array({grid}), {4 * buckets})")).scalar()
     placed = counts.withColumn("_cuts", cuts).withColumn(
         "_bucket", _bucket_of(F.col(value), F.col("_cuts"), buckets - 1)).drop("_cuts")
     names = ["n", *sums]

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadtide.functions import special
-from threadtide.operators.ranks import mid_rank, ordered_counts
+from threadtide.operators.ranks import exact_quantiles, mid_rank, ordered_counts
+from threadtide.session import cut_lineage
 
 
 def rank_statistics(df: DataFrame, value: str, first: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -358,3 +359,17 @@ def trigger_efficiency(roots: DataFrame) -> DataFrame:
     return roots.agg(efficiency(1).alias("bot_efficiency"), efficiency(0).alias("human_efficiency")).withColumn(
         "ratio", F.col("bot_efficiency") / F.col("human_efficiency")
     )
+
+
+def trigger_effect(df: DataFrame, share: float = 0.75, min_each: int = 5) -> DataFrame:
+    """U test on reply variance, bots against humans, among roots in the upper quartile of the index.
+
+    The roots are read by the quantile and by the test, so they are written once to the shared folder.
+    """
+    roots = roots_with_variance(df, "sentiment_prob", "offensive_prob").select(
+        "label", "rbi", F.round("ev", 12).alias("ev")  # equal variances must tie whatever the order of addition
+    )
+    roots = cut_lineage(roots)
+    edge = exact_quantiles(roots, "rbi", [share], names=["q"]).select("q").scalar()
+    high = roots.where(F.col("rbi") >= edge)
+    return guarded_test(high, "ev", F.col("label") == 1, min_each, exact_small=True)

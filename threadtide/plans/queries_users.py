@@ -478,11 +478,7 @@ SELECT n1, n0, round(mean1, 9) AS mean1, round(mean0, 9) AS mean0, round(u, 3) A
        round(delta, 9) AS delta, round(p_value, 6) AS p_value, CAST(NULL AS VARCHAR) AS error
 FROM ({u_test('w', 'round(ev, 12)', 'label = 1')}) t""")
 def _(spark, sf):
-    roots = stats.roots_with_variance(indexed_comments(spark, sf), "sentiment_prob", "offensive_prob")
-    edge = ranks.exact_quantiles(roots, "rbi", [0.75], names=["q"]).select("q").scalar()
-    # equal variances must tie whatever the order of addition
-    high = roots.where(F.col("rbi") >= edge).withColumn("ev", F.round("ev", 12))
-    return rounded(stats.guarded_test(high, "ev", F.col("label") == 1, 5, exact_small=True), u=3)
+    return rounded(stats.trigger_effect(indexed_comments(spark, sf)), u=3)
 
 
 @query("X11_pls_path")
