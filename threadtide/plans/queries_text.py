@@ -140,7 +140,7 @@ def _step(name: str, sql: str, build, folded: bool = True):
     """Register one cleaning step on transliterated text as (doc_id, cleaned)."""
     source = FOLDED if folded else "content"
 
-    @query(name, st_sql(f", f AS (SELECT doc_id, author, {source} AS t FROM st) SELECT doc_id, {sql} AS cleaned FROM f"))
+    @query(name, st_sql(f", f AS MATERIALIZED (SELECT *, string_split(t, '') AS l FROM (SELECT doc_id, author, {source} AS t FROM st) z) SELECT doc_id, {sql} AS cleaned FROM f"))
     def _(spark, sf):
         start = cl.transliterate(F.col("content")) if folded else F.col("content")
         df = social_text(spark, sf).select("doc_id", "author", start.alias("t"))
@@ -175,7 +175,7 @@ TYPED = (r"CASE WHEN NOT regexp_matches(t, '\d') THEN t ELSE regexp_replace(rege
 _step("C14_typed_numbers", TYPED, lambda c, a: cl.typed_numbers(c))
 _step("C15_places", r"array_to_string(list_transform(regexp_extract_all(t, '\w+|\W+'), lambda w: coalesce("
       + sq.literal_map(lk.COUNTRIES | lk.STATES) + "[upper(w)], w)), '')", lambda c, a: cl.expand_places()(c))
-_step("C16_repeats", sq.repeats("t"), lambda c, a: cl.squeeze_repeats(c))
+_step("C16_repeats", sq.repeats("l"), lambda c, a: cl.squeeze_repeats(c))
 _step("C17_slang_topics", sq.slang("t", cl.SLANG_KEY_TOPICS, True),
       lambda c, a: cl.translate_slang(cl.SLANG_KEY_TOPICS, True)(c))
 _step("C17_slang_lexicon", sq.slang("t", cl.SLANG_KEY_LEXICON, False),

@@ -49,9 +49,9 @@ def words(expr: str) -> str:
     return rf"list_filter(string_split_regex({expr}, '\s+'), lambda w: w <> '')"
 
 
-def repeats(expr: str) -> str:
-    """Runs of three and more cut to two without back-references; newlines never count."""
-    chars = f"string_split({expr}, '')"
+def repeats(chars: str) -> str:
+    """Runs of three and more cut to two without back-references, from a column holding the characters
+    as a list; newlines never count."""
     return (f"array_to_string(list_filter(list_transform({chars}, lambda c, i: CASE WHEN i > 2 AND c <> chr(10) "
             f"AND c = {chars}[i - 1] AND c = {chars}[i - 2] THEN NULL ELSE c END), lambda c: c IS NOT NULL), '')")
 
@@ -128,8 +128,8 @@ def cleaned(start: str, slang_key: str, keep_raw: bool, final: str, keep: str, s
     """The whole variant: (doc_id, cleaned), from ``start`` (SQL up to the plain numbers) on."""
     ascii_words = r"lambda w: w <> '' AND NOT regexp_matches(w, '[^\x00-\x7F]')"
     return rf""", {WORD_LIST}
-s1 AS MATERIALIZED (SELECT doc_id, {start} AS t FROM {source}),
-s2 AS MATERIALIZED (SELECT doc_id, {repeats('t')} AS t FROM s1),
+s1 AS MATERIALIZED (SELECT doc_id, string_split({start}, '') AS l FROM {source}),
+s2 AS MATERIALIZED (SELECT doc_id, {repeats('l')} AS t FROM s1),
 s3 AS MATERIALIZED (SELECT doc_id, list_filter(string_split_regex({slang('t', slang_key, keep_raw)}, '\s+'), {ascii_words}) AS ws FROM s2),
 tk AS MATERIALIZED (SELECT doc_id, generate_subscripts(ws, 1) AS pos, unnest(ws) AS token FROM s3),
 {repair_ctes('tk')},
