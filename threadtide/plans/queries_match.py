@@ -244,7 +244,7 @@ def rule_labels(df):
     from threadtide.functions.text import rule_scores
 
     scored = rule_scores(df.select("doc_id", F.col("text").alias("content")), "content")
-    return scored.select("doc_id", F.when(F.col("ai_prob") >= 0.8, 1).otherwise(0).alias("quality"))
+    return scored.select("doc_id", F.when(F.round("ai_prob", 9) >= 0.8, 1).otherwise(0).alias("quality"))
 
 
 LABELLED = queries_text.RULES.replace("FROM st)", "FROM (SELECT doc_id, text AS content FROM documents) st)", 1)
