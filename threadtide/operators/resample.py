@@ -69,15 +69,14 @@ def poisson(u: np.ndarray, mean: np.ndarray) -> np.ndarray:
     total = p.copy() * np.ones_like(u)
     out = np.zeros(u.shape, dtype=np.int64)
     k = 0
+    last = 60 + 20 * int(mean.max(initial=0.0))  # beyond this the mass is below the resolution of the draws
     todo = u >= total
-    while todo.any():
+    while todo.any() and k < last:
         k += 1
         out += todo
         p = p * m / k
         total = total + p
-        todo = (u >= total) & (total < 1 - 1e-12) if k > 50 * (1 + float(mean.max())) else u >= total
-        if k > 50 + 20 * float(mean.max()):
-            break
+        todo = u >= total
     return out
 
 

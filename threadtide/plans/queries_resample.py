@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from threadtide.functions import index as ix
@@ -38,7 +40,7 @@ def _(spark, sf):
 # Cumulative Poisson sums for a rate per row, to the twentieth term.
 STEPS = " + ".join(
     f"CASE WHEN u >= exp(-m) * ({' + '.join(f'pow(m, {j}) / {f}e0' for j, f in enumerate(fs))}) THEN 1 ELSE 0 END"
-    for fs in [[__import__('math').factorial(j) for j in range(k + 1)] for k in range(18)])
+    for fs in [[math.factorial(j) for j in range(k + 1)] for k in range(18)])
 
 
 @query("X2_weighted_u", sc_sql(f"""
