@@ -21,8 +21,12 @@ def best_threshold(df: DataFrame, y: str, score: str, start: int = 10, stop: int
 
     Scores fold to the number of thresholds they reach (at most 81 cells); the sweep runs on those.
     """
-    grid = F.array(*[F.lit(i / 100) for i in range(start, stop)])
-    reached = F.size(F.filter(grid, lambda t: t <= F.col(score)))
+    hundredths = F.floor(F.col(score) * 100)  # a rounding step may put it one too low or too high
+    exact = (
+        F.when((hundredths + 1) / 100.0 <= F.col(score), hundredths + 1)
+        .when(hundredths / 100.0 > F.col(score), hundredths - 1).otherwise(hundredths)
+    )
+    reached = F.least(F.greatest(exact - start + 1, F.lit(0)), F.lit(stop - start)).cast("int")
     cells = df.groupBy(reached.alias("c")).agg(
         F.count_if(F.col(y) == 1).alias("k"), F.count_if(F.col(y) == 0).alias("m")
     )

@@ -27,18 +27,16 @@ def bucket_count(spark: SparkSession) -> int:
     return max(MIN_BUCKETS, min(MAX_BUCKETS, wanted))
 
 
-def _bucket_of(value: Column, cuts: Column, buckets: int) -> Column:
-    """How many of the sorted cut points are <= value, by halving strides."""
-    strides = []
-    step = 1 << (buckets.bit_length() - 1)
+def _with_bucket(df: DataFrame, value: str, cuts: Column, buckets: int) -> DataFrame:
+    """Add ``_bucket``: how many of the ``buckets`` - 1 sorted cut points are <= value. The search halves its
+    stride in one plain projection per step, which stay inside generated code."""
+    out = df.withColumns({"_cuts": cuts, "_bucket": F.lit(0)})
+    step = 1 << ((buckets - 1).bit_length() - 1)
     while step:
-        strides.append(step)
+        passed = F.get("_cuts", F.col("_bucket") + (step - 1)) <= F.col(value)
+        out = out.withColumn("_bucket", F.col("_bucket") + F.when(passed, step).otherwise(0))
         step //= 2
-    return F.aggregate(
-        F.expr(f"array({', '.join(map(str, strides))})"),
-        F.lit(0),
-        lambda pos, stride: F.when(F.try_element_at(cuts, pos + stride) <= value, pos + stride).otherwise(pos),
-    )
+    return out.drop("_cuts")
 
 
 def ordered_counts(
@@ -61,8 +59,7 @@ def ordered_counts(
     )
     grid = ", ".join(f"{i / buckets}D" for i in range(1, buckets))
     cuts = counts.agg(F.expr(f"percentile_approx(`{value}`, array({grid}), {4 * buckets})")).scalar()
-    placed = counts.withColumn("_cuts", cuts).withColumn(
-        "_bucket", _bucket_of(F.col(value), F.col("_cuts"), buckets - 1)).drop("_cuts")
+    placed = _with_bucket(counts, value, cuts, buckets)
     names = ["n", *sums]
     below = Window.partitionBy(*by, F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by, F.lit(0))

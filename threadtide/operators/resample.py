@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from threadtide.functions import special
 from threadtide.operators.ranks import global_row_number
+from threadtide.session import spread
 
 PRIME = 2147483647
 BATCH = 512
@@ -82,7 +83,8 @@ def poisson(u: np.ndarray, mean: np.ndarray) -> np.ndarray:
 
 def bootstrap_mean_difference(df: DataFrame, value: str, label: str, key: str, replicates: int = 1000) -> DataFrame:
     """Mean and 95% interval of the bot minus human mean over Poisson bootstrap replicates."""
-    rows = df.select(F.col(key).alias("k"), F.col(value).alias("v"), F.col(label).alias("l")).withColumn(
+    small = spread(df.select(F.col(key).alias("k"), F.col(value).alias("v"), F.col(label).alias("l")))
+    rows = small.withColumn(
         "rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn(
         "w", poisson_one(draw(F.col("k"), F.col("rep").cast("bigint"))))
 

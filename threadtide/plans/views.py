@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadtide.functions import index as ix
+from threadtide.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # whole texts are costly per row, and a small sample of them is a single row group
+    return spread(df.select("doc_id", "text", "lang", "n_chars")) if name == "documents" else df
 
 
 # ---------------------------------------------------------------- scored comments (from events)
