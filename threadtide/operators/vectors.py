@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import PCA
+from pyspark.ml.feature import PCA, CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.mllib.linalg import Vectors as OldVectors
+from pyspark.ml.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadtide.session import cut_lineage
+
 
 def pack(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
     """Wide columns into one array column."""
@@ -115,45 +118,46 @@ def tfidf(df: DataFrame, key: str, text: str, features: int = 5000) -> DataFrame
     The vocabulary is at most ``features`` rows, which bounds what the planner may broadcast.
     """
     counts = term_counts(df, key, word_tokens(F.col(text)))
+    weights = counts.join(vocabulary(df, counts, features), "term").select(
+        key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norms = weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return weights.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+
+
+def vocabulary(df: DataFrame, counts: DataFrame, features: int) -> DataFrame:
+    """The most frequent terms with their idf, at most ``features`` rows."""
     n = df.agg(F.count("*")).scalar()
-    vocabulary = (
+    return (
         counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
         .orderBy(F.desc("total"), "term").limit(features)
         .select("term", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     )
-    weights = counts.join(vocabulary, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weights.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def sparse_vectors(weights: DataFrame, key: str) -> tuple[DataFrame, int]:
-    """Rows of (key, vector) from (key, term, weight), positions by term order."""
-    terms = [r["term"] for r in weights.select("term").distinct().orderBy("term").collect()]  # the bounded vocabulary
-    index = weights.sparkSession.createDataFrame([(t, i) for i, t in enumerate(terms)], "term string, pos int")
-    cells = F.array_sort(F.collect_list(F.struct("pos", "weight")))  # one text's own terms
-    rows = weights.join(index, "term").groupBy(key).agg(cells.alias("cells"))
-    return rows, len(terms)
+def svd_project(df: DataFrame, key: str, text: str, dims: int, features: int = 5000) -> tuple[DataFrame, list[float]]:
+    """V3: truncated SVD of the TF-IDF rows; returns (key, lsa array) and the singular values.
 
-
-def svd_project(weights: DataFrame, key: str, dims: int) -> tuple[DataFrame, list[float]]:
-    """V3: truncated SVD of the TF-IDF rows; returns (key, lsa array) and the singular values."""
-    rows, width = sparse_vectors(weights, key)
-
-    def to_row(r):
-        return OldVectors.sparse(width, [c["pos"] for c in r["cells"]], [c["weight"] for c in r["cells"]])
-
-    matrix = RowMatrix(rows.rdd.map(to_row), 0, width)
-    svd = matrix.computeSVD(min(dims, width), computeU=False)
-    v = svd.V.toArray()  # width x dims: bounded by the vocabulary
-    spark = weights.sparkSession
-    terms = weights.select("term").distinct().orderBy("term")
-    basis = spark.createDataFrame(
-        [(t["term"], [float(x) for x in v[i]]) for i, t in enumerate(terms.collect())], "term string, axis array<double>"
-    )
-    parts = weights.join(basis, "term").select(key, F.posexplode(
-        F.transform("axis", lambda a: a * F.col("weight"))).alias("pos", "val"))
-    lsa = parts.groupBy(key, "pos").agg(F.sum("val").alias("val")).groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "val"))), lambda x: x["val"]).alias("lsa"))
+    Only the bounded vocabulary and its basis (features x dims) pass through the driver.
+    """
+    counts = cut_lineage(term_counts(df, key, word_tokens(F.col(text))))
+    terms = vocabulary(df, counts, features).orderBy("term").collect()
+    names = [t["term"] for t in terms]
+    tokens = df.select(key, word_tokens(F.col(text)).alias("tokens"))
+    tf = CountVectorizerModel.from_vocabulary(names, "tokens", "tf").transform(tokens)
+    weighted = ElementwiseProduct(scalingVec=Vectors.dense([t["idf"] for t in terms]), inputCol="tf", outputCol="w")
+    unit = Normalizer(p=2.0, inputCol="w", outputCol="unit").transform(weighted.transform(tf)).select("unit")
+    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(unit, "unit"), 0, len(names))
+    svd = matrix.computeSVD(min(dims, len(names)), computeU=False)
+    axes = svd.V.toArray()
+    basis = df.sparkSession.createDataFrame(
+        [(t["term"], float(t["idf"]), [float(x) for x in axes[i]]) for i, t in enumerate(terms)],
+        "term string, idf double, axis array<double>")
+    weights = counts.join(basis, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    norms = weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    parts = weights.select(key, F.posexplode(F.transform("axis", lambda a: a * F.col("w"))).alias("pos", "val"))
+    sums = parts.groupBy(key, "pos").agg(F.sum("val").alias("val")).groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("pos", "val"))).alias("cells"))  # dims cells per text
+    lsa = sums.join(norms, key).select(key, F.transform("cells", lambda x: x["val"] / F.col("norm")).alias("lsa"))
     return lsa, [float(x) for x in svd.s.toArray()]
 
 
