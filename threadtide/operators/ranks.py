@@ -6,7 +6,7 @@ bucket plus the totals of the buckets below (one row per bucket). A value shared
 rows is a single row after the fold, so no bucket grows with the skew of the data.
 
 ``global_row_number`` numbers whole rows by a composite key: range partitioning balances ties through
-the later key columns, and one reliable checkpoint pins the partitioning.
+the later key columns, and one written stage pins the numbering.
 """
 
 from __future__ import annotations
@@ -126,7 +126,7 @@ def quantiles_of(
 
 
 def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "row_number") -> DataFrame:
-    """Rows numbered 1..N by ``order``, which should be unique. One range shuffle, one checkpoint."""
+    """Rows numbered 1..N by ``order``, which should be unique. One range shuffle, one written stage."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     pinned = cut_lineage(ranged.withColumn("_slot", F.monotonically_increasing_id()))
     part = F.shiftrightunsigned("_slot", 33)
