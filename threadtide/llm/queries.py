@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from threadtide.llm import quality, simhash
+from threadtide.llm import lines, mixing, quality, sharding, simhash
 from threadtide.llm.registry import documents, query
 
 
@@ -13,6 +14,25 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition_rules(documents(spark, sf_dir))
 
 
+@query("op2_balanced_shards")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.balanced_shards(documents(spark, sf_dir))
+    return placed.select("*", F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query("op6_simhash_near_duplicates")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+@query("op8_entropy_mix")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir))
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return mixed.select(F.col("row").alias("doc_id"), "size", "source_size", "target", taken, "copies")
+
+
+@query("op10_common_lines")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.drop_common_lines(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
