@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadtide.llm import lines, mixing, quality, sharding, simhash
+from threadtide.llm import decontam, langid, lines, mixing, quality, sharding, simhash
 from threadtide.llm.registry import documents, query
 
 
@@ -20,11 +20,23 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("*", F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op4_language_id")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.identify(docs, langid.fit(docs)).withColumnRenamed("row", "doc_id")
+
+
 @query("op6_simhash_near_duplicates")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+@query("op7_benchmark_tiling")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontam.contaminated_pairs(documents(spark, sf_dir), benchmark)
+
+
 @query("op8_entropy_mix")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir))
