@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadtide.llm import decontam, langid, lines, mixing, quality, sharding, simhash
+from threadtide.llm import decontam, langid, lines, mixing, quality, sharding, simhash, substring
 from threadtide.llm.registry import documents, query
 
 
@@ -44,6 +44,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("row").alias("doc_id"), "size", "source_size", "target", taken, "copies")
 
 
+@query("op9_substring_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.drop_repeats(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query("op10_common_lines")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.drop_common_lines(documents(spark, sf_dir))
