@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadtide.llm import decontam, langid, lines, mixing, quality, sharding, simhash, substring
+from threadtide.llm import decontam, langid, lines, mixing, quality, quotes, sharding, simhash, substring, tokens
 from threadtide.llm.registry import documents, query
 
 
@@ -20,12 +20,22 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("*", F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op3_training_order")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.training_order(documents(spark, sf_dir))
+
+
 @query("op4_language_id")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return langid.identify(docs, langid.fit(docs)).withColumnRenamed("row", "doc_id")
 
 
+@query("op5_quotation_links")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.reply_ordered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 @query("op6_simhash_near_duplicates")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
@@ -54,3 +64,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.drop_common_lines(documents(spark, sf_dir))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
