@@ -269,14 +269,17 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ligh
     split = contents.where("heavy").dropDuplicates(["min_hash", "seg_hash"]).mapInArrow(*_windows(window))
     often = split.groupBy("h").agg(F.sum("m").alias("all")).where(F.col("all") > 1).select("h")
     by_window = split.join(often, "h").select("min_hash", "seg_hash", "a", F.col("a").alias("b"))
-    found = cut_lineage(by_automaton.unionByName(by_window))
-    inner = mixed.join(found, ["min_hash", "seg_hash"]).select(
-        "text_key", (F.col("start") + F.col("a")).alias("from"), (F.col("start") + F.col("b") + window).alias("to")
+    # one row per run carries all its spans, so the join makes no more rows than there are runs in texts
+    found = cut_lineage(
+        by_automaton.unionByName(by_window).groupBy("min_hash", "seg_hash").agg(F.collect_set(F.struct("a", "b")).alias("found"))
     )
-    whole = met.where("uniform").select(
-        "text_key", F.col("start").alias("from"), (F.col("start") + F.col("n_win") + window - 1).alias("to")
+    inner = mixed.join(found, ["min_hash", "seg_hash"]).select(
+        "text_key",
+        F.transform("found", lambda f: F.struct((F.col("start") + f["a"]).alias("from"), (F.col("start") + f["b"] + window).alias("to"))).alias("spans"),
     )
-    return inner.unionByName(whole).groupBy("text_key").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+    end = F.col("start") + F.col("n_win") + window - 1
+    whole = met.where("uniform").select("text_key", F.array(F.struct(F.col("start").alias("from"), end.alias("to"))).alias("spans"))
+    return inner.unionByName(whole).groupBy("text_key").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, light: int = LIGHT) -> DataFrame:
