@@ -34,6 +34,7 @@ LENGTH, SHARD_ROWS, KEY, ROUNDS = 2048, 1024, 20240607, 6
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MOST_VOCABULARY_BYTES = 64 << 20
+PACK_LEVEL, DICTIONARY_TEXTS, DICTIONARY_BYTES = 9, 200, 1 << 17
 
 
 @dataclass(frozen=True)
@@ -65,25 +66,32 @@ def read_vocabulary(spark: SparkSession, path: str = VOCABULARY) -> Vocabulary:
     return Vocabulary({base64.b64decode(word): int(rank) for word, rank in pairs})
 
 
-def _packed(ids: np.ndarray) -> bytes:
-    """Ids with their low and high bytes apart, compressed."""
-    planes = np.ascontiguousarray(ids.view(np.uint8).reshape(len(ids), -1).T)
-    return zstandard.compress(planes.tobytes(), 1)
+class Packing:
+    """Compression of the ids of one sequence against a dictionary of ids that every task holds."""
 
+    def __init__(self, dictionary: bytes):
+        own = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if dictionary else None
+        self.pack = zstandard.ZstdCompressor(level=PACK_LEVEL, dict_data=own).compress
+        self.unpack = zstandard.ZstdDecompressor(dict_data=own).decompress
 
-def _unpacked(body: bytes, width: int) -> bytes:
-    planes = np.frombuffer(zstandard.decompress(body), np.uint8).reshape(width, -1)
-    return np.ascontiguousarray(planes.T).tobytes()
 
+def dictionary(docs: DataFrame, vocabulary: Vocabulary) -> bytes:
+    """Ids of the beginnings of a few texts. It only makes packed sequences smaller while they are moved; what is
+    written does not depend on it."""
+    some = docs.where("text IS NOT NULL").select(F.substring("text", 1, 4096).alias("text")).limit(DICTIONARY_TEXTS)
+    encode = vocabulary.encoding().encode_ordinary
+    ids = [i for r in some.collect() for i in encode(r["text"])]
+    return np.array(ids, vocabulary.kind).tobytes()[:DICTIONARY_BYTES]
 
-def sequences(docs: DataFrame, vocabulary: Vocabulary, length: int = LENGTH) -> DataFrame:
+
+def sequences(docs: DataFrame, vocabulary: Vocabulary, length: int = LENGTH, shared: bytes = b"") -> DataFrame:
     """``task``, ``nth`` in the task, ``body`` (packed ids), ``n_tokens``, ``docs``: which tokens of which document."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     part = f"array<struct<doc_id: {id_type}, from: long, at: int, n: int>>"
-    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    held = docs.sparkSession.sparkContext.broadcast((vocabulary, shared))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = held.value
+        v, pack = held.value[0], Packing(held.value[1]).pack
         encode, task, nth = v.encoding().encode_ordinary, TaskContext.get().partitionId(), 0
         ids, n, parts = [], 0, []
 
@@ -106,13 +114,13 @@ def sequences(docs: DataFrame, vocabulary: Vocabulary, length: int = LENGTH) ->
                     parts.append({"doc_id": doc_id, "from": at, "at": n, "n": take})
                     at, n = at + take, n + take
                     if n == length:
-                        out.append((task, nth, _packed(np.concatenate(ids)), n, parts))
+                        out.append((task, nth, pack(np.concatenate(ids).tobytes()), n, parts))
                         ids, n, parts, nth = [], 0, [], nth + 1
             if out:
                 yield batch_of(out, kind)
         if n:
             filled = np.concatenate([*ids, np.full(length - n, v.end, v.kind)])
-            yield batch_of([(task, nth, _packed(filled), n, parts)], kind)
+            yield batch_of([(task, nth, pack(filled.tobytes()), n, parts)], kind)
 
     return docs.select("doc_id", "text").mapInArrow(run, f"task long, nth long, body binary, n_tokens int, docs {part}")
 
@@ -146,7 +154,8 @@ def write_training_order(
 ) -> DataFrame:
     """Writes the shards below ``path`` as shard=<k>/part-... and returns their index: ``slot``, ``shard``,
     ``offset`` (bytes into the shard), ``n_tokens``, ``docs``."""
-    made = cut_lineage(sequences(docs, vocabulary, length))
+    shared = dictionary(docs, vocabulary)
+    made = cut_lineage(sequences(docs, vocabulary, length, shared))
     sizes = made.groupBy("task").agg(F.count("*").alias("rows"))
     before = Window.partitionBy(F.lit(0)).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("task", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))  # one row a task
@@ -159,9 +168,12 @@ def write_training_order(
         .withColumn("shard", F.floor(F.col("slot") / shard_rows))
     )
 
+    held = docs.sparkSession.sparkContext.broadcast(shared)
+
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = Packing(held.value).unpack
         for batch in batches:
-            bodies = pa.array([_unpacked(b, width) for b in batch.column(2).to_pylist()], pa.binary())
+            bodies = pa.array([unpack(b) for b in batch.column(2).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bodies], names=["shard", "slot", "body"])
 
     moved = slotted.select("shard", "slot", "body").repartitionByRange("shard")
