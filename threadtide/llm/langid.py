@@ -27,9 +27,9 @@ from threadtide.llm import textnum as tn
 from threadtide.session import cut_lineage
 
 DIM, GRAMS = 1 << 16, (1, 2, 3)
-PER_LANGUAGE, EPOCHS = 1500, 3
+PER_LANGUAGE, EPOCHS = 500, 3
 ALPHA, BETA, L1, L2, SCALE = 0.5, 1.0, 1e-3, 1e-4, 10.0
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 18
 MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 _letters: np.ndarray | None = None
 
@@ -120,7 +120,7 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
 def _sparse(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     hashed, _ = features([text])
     at, n = np.unique(hashed, return_counts=True)
-    return at, SCALE * idf[at] * n / max(1, len(hashed))
+    return at, (SCALE * idf[at] * n / max(1, len(hashed))).astype(np.float32)
 
 
 def _softmax(s: np.ndarray) -> np.ndarray:
