@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from threadtide.llm.textnum import mixed
 from threadtide.session import cut_lineage, fresh_path
 
-LENGTH, SHARD_ROWS, KEY, ROUNDS = 2048, 1024, 20240607, 6
+LENGTH, SHARD_ROWS, KEY, ROUNDS, SLICE_ROWS = 2048, 1024, 20240607, 6, 128
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MOST_VOCABULARY_BYTES = 64 << 20
@@ -84,6 +84,10 @@ def dictionary(docs: DataFrame, vocabulary: Vocabulary) -> bytes:
     return np.array(ids, vocabulary.kind).tobytes()[:DICTIONARY_BYTES]
 
 
+def _pairs(batch: pa.RecordBatch) -> Iterator[tuple]:
+    return zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+
+
 def sequences(docs: DataFrame, vocabulary: Vocabulary, length: int = LENGTH, shared: bytes = b"") -> DataFrame:
     """``task``, ``nth`` in the task, ``body`` (packed ids), ``n_tokens``, ``docs``: which tokens of which document."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -101,11 +105,10 @@ def sequences(docs: DataFrame, vocabulary: Vocabulary, length: int = LENGTH, sha
                 [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["task", "nth", "body", "n_tokens", "docs"]
             )
 
-        kind = None
+        kind, out = None, []
         for batch in batches:
             kind = pa.list_(pa.struct([("doc_id", batch.column(0).type), ("from", pa.int64()), ("at", pa.int32()), ("n", pa.int32())]))
-            out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, text in (pair for low in range(0, batch.num_rows, SLICE_ROWS) for pair in _pairs(batch.slice(low, SLICE_ROWS))):
                 own = np.array([*encode(text or ""), v.end], v.kind)
                 at = 0
                 while at < len(own):
@@ -116,8 +119,11 @@ def sequences(docs: DataFrame, vocabulary: Vocabulary, length: int = LENGTH, sha
                     if n == length:
                         out.append((task, nth, pack(np.concatenate(ids).tobytes()), n, parts))
                         ids, n, parts, nth = [], 0, [], nth + 1
-            if out:
-                yield batch_of(out, kind)
+                    if len(out) == SLICE_ROWS:
+                        yield batch_of(out, kind)
+                        out = []
+        if out:
+            yield batch_of(out, kind)
         if n:
             filled = np.concatenate([*ids, np.full(length - n, v.end, v.kind)])
             yield batch_of([(task, nth, pack(filled.tobytes()), n, parts)], kind)
