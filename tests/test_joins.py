@@ -139,6 +139,8 @@ def test_scorer_failures_become_null(spark):
     df = spark.createDataFrame([(1, "abc"), (2, None)], "k int, t string").coalesce(1)
     got = {r["k"]: r["n"] for r in labelling.score_batches(df, "t", load, "n long").collect()}
     assert got == {1: 3, 2: None}
+    mixed = spark.createDataFrame([(1, "abc"), (2, "boom"), (3, "de"), (4, None)], "k int, t string").coalesce(1)
+    assert {r["k"]: r["n"] for r in labelling.score_batches(mixed, "t", load, "n long").collect()} == {1: 3, 2: None, 3: 2, 4: None}
     broken = spark.createDataFrame([(1, "boom")], "k int, t string")
     assert labelling.score_batches(broken, "t", load, "n long").first()["n"] is None
 

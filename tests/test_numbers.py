@@ -148,3 +148,18 @@ def test_two_way_anova_balanced(spark):
 def test_pls_with_one_predictor_is_correlation():
     fit = stats.pls_path({"xx": [[1.0]], "xy": [0.6]}, ["a"])
     assert fit["coef"]["a"] == pytest.approx(0.6) and fit["r2"] == pytest.approx(0.36)
+
+
+@pytest.mark.parametrize("d2, p", [(10, 0.3408931323), (1e10, 0.3173105079), (1e12, 0.3173105079)])
+def test_tail_at_many_degrees_of_freedom(d2, p):
+    assert special.f_tail(1.0, 1.0, d2) == pytest.approx(p, rel=1e-9)
+
+
+def test_u_counts_by_enumeration():
+    from itertools import combinations
+
+    for m, n in ((1, 4), (3, 4), (4, 4)):
+        want = [0] * (m * n + 1)
+        for places in combinations(range(m + n), m):
+            want[sum(places) - m * (m - 1) // 2] += 1
+        assert special.u_counts(m, n).tolist() == want

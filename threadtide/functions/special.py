@@ -35,7 +35,7 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     h = d
-    for m in range(1, 2000):
+    for m in range(1, 1_000_000):
         for top in (
             m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
             -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
@@ -47,28 +47,51 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             step = d * c
             h *= step
         if abs(step - 1.0) < 1e-15:
-            break
-    return h
-
-
-def beta_inc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function."""
+            return h
+    raise ArithmeticError(f"the fraction has not settled for {a}, {b}, {x}")
+
+
+def _stirling_rest(n: float) -> float:
+    """log(n!) less Stirling's formula."""
+    if n <= 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi)
+    s = 1.0 / (n * n)
+    return (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680 - s / 1188) * s) * s) * s) / n
+
+
+def _deviance(x: float, m: float) -> float:
+    """x log(x / m) + m - x without loss of digits where x is near m."""
+    if abs(x - m) >= 0.1 * (x + m):
+        return x * math.log(x / m) + m - x
+    v = (x - m) / (x + m)
+    total, power, j = (x - m) * v, 2 * x * v, 1
+    while True:
+        power *= v * v
+        more = total + power / (2 * j + 1)
+        if more == total:
+            return total
+        total, j = more, j + 1
+
+
+def beta_inc(a: float, b: float, x: float, y: float | None = None) -> float:
+    """Regularised incomplete beta function; ``y`` is 1 - x where that is known to more digits."""
+    y = 1.0 - x if y is None else y
     if x <= 0:
         return 0.0
-    if x >= 1:
+    if y <= 0:
         return 1.0
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    )
-    if x < (a + 1) / (a + b + 2):
+    n = a + b
+    rest = _stirling_rest(n) - _stirling_rest(a) - _stirling_rest(b) - _deviance(a, n * x) - _deviance(b, n * y)
+    front = math.sqrt(a * b / (2 * math.pi * n)) * math.exp(rest)
+    if y > (b + 1) / (a + b + 2):
         return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1 - x) / b
+    return 1.0 - front * _beta_fraction(b, a, y) / b
 
 
 def f_tail(f: float, d1: float, d2: float) -> float | None:
     if f is None or d1 is None or d2 is None or any(map(math.isnan, (f, d1, d2))) or d1 <= 0 or d2 <= 0:
         return None
-    return 1.0 if f <= 0 else beta_inc(d2 / 2, d1 / 2, d2 / (d2 + d1 * f))
+    return 1.0 if f <= 0 else beta_inc(d2 / 2, d1 / 2, d2 / (d2 + d1 * f), d1 * f / (d2 + d1 * f))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -85,14 +108,15 @@ def t_test_p(t: pd.Series, df: pd.Series) -> pd.Series:
 
 def u_counts(m: int, n: int) -> np.ndarray:
     """How many of the C(m+n, m) orderings give U = 0, 1, ..., m*n."""
-    ways = np.zeros(m * n + 1)
+    size = m * n + 1
+    ways = np.zeros(size)
     ways[0] = 1.0
     for i in range(1, m + 1):
         top = n + i
-        if top <= m * n:
-            ways[top:] -= ways[: m * n + 1 - top].copy()
-        for j in range(i, m * n + 1):
-            ways[j] += ways[j - i]
+        if top < size:
+            ways[top:] -= ways[: size - top].copy()
+        rows = -(-size // i)
+        ways = np.cumsum(np.pad(ways, (0, rows * i - size)).reshape(rows, i), axis=0).ravel()[:size]
     return ways
 
 
@@ -108,7 +132,7 @@ def small_sample_u_p(u: pd.Series, n1: pd.Series, n0: pd.Series, tied: pd.Series
     """Exact p where a sample has at most 8 values and nothing is tied, else the given p."""
     return pd.Series(
         [
-            u_tail(a, int(b), int(c)) if 0 < min(b, c) <= 8 and b * c <= 100_000 and not t else q
+            u_tail(a, int(b), int(c)) if 0 < min(b, c) <= 8 and not t else q
             for a, b, c, t, q in zip(u, n1, n0, tied, p)
         ],
         dtype="float64",

@@ -15,22 +15,28 @@ BatchScorer = Callable[[pd.Series], pd.DataFrame]
 
 def score_batches(df: DataFrame, text: str, load: Callable[[], BatchScorer], schema: str) -> DataFrame:
     """Add the scorer's columns. ``load`` runs once per task, e.g. to open a model; the scorer maps
-    a batch of texts to a frame of results. Rows whose text is NULL get NULL results, as do all rows of
-    a batch that the scorer fails on."""
+    a batch of texts to a frame of results. Rows whose text is NULL get NULL results, as does a row that the
+    scorer fails on: a failing batch is halved until the row stands alone."""
     from pyspark.sql.types import StructType
 
     extra = StructType.fromDDL(schema)
     whole = StructType(df.schema.fields + extra.fields)
     names = [f.name for f in extra.fields]
 
+    def scored(scorer: BatchScorer, texts: pd.Series) -> pd.DataFrame:
+        try:
+            return scorer(texts)
+        except Exception:
+            if len(texts) < 2:
+                return pd.DataFrame(index=texts.index, columns=names)
+            half = len(texts) // 2
+            return pd.concat([scored(scorer, texts.iloc[:half]), scored(scorer, texts.iloc[half:])])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = load()
         for batch in batches:
             known = batch[text].notna()
-            try:
-                found = scorer(batch.loc[known, text])
-            except Exception:  # a failing batch yields NULL scores, like a failing row in the reference
-                found = pd.DataFrame(index=batch.index[known], columns=names)
+            found = scored(scorer, batch.loc[known, text])
             for n in names:
                 batch[n] = pd.Series(found[n].values, index=batch.index[known]).reindex(batch.index)
             yield batch

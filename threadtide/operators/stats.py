@@ -107,12 +107,15 @@ def conclusion(tests: DataFrame) -> DataFrame:
     )
 
 
-def guarded_test(df: DataFrame, value: str, first: Column, min_each: int, exact_small: bool = False) -> DataFrame:
-    """Q6: one U test as one row, or an error text when a sample has ``min_each`` values or fewer."""
+def guarded_test(
+    df: DataFrame, value: str, first: Column, min_each: int, exact_small: bool = False, min_rows: int = 0
+) -> DataFrame:
+    """Q6: one U test as one row, or an error text when a sample has ``min_each`` values or fewer, or both have
+    fewer than ``min_rows``."""
     t = rank_statistics(df, value, first)
     if exact_small:
         t = t.withColumn("p_value", special.small_sample_u_p("u", "n1", "n0", "tied", "p_value"))
-    ok = (F.col("n1") > min_each) & (F.col("n0") > min_each)
+    ok = (F.col("n1") > min_each) & (F.col("n0") > min_each) & (F.col("n1") + F.col("n0") >= min_rows)
     return t.select(
         "n1",
         "n0",

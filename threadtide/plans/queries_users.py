@@ -347,21 +347,26 @@ def _(spark, sf):
     return tests_out(stats.threshold_tests(indexed_comments(spark, sf), two_sided=True))
 
 
-@query("X1_conclusion", sc_sql("""
-SELECT CAST(0 AS BIGINT) AS tests_run, 'INSUFFICIENT' AS conclusion
-FROM (SELECT count(*) AS humans FROM sc WHERE label = 0 AND ai_confidence >= 0.5e0) q WHERE humans <= 10"""))
+_ONE_SIDED = threshold_sql("rbi", [0.5, 0.7, 0.9], "ai_confidence >= g.threshold")
+
+
+@query("X1_conclusion", sc_sql(_ONE_SIDED.replace("\nSELECT g.threshold", ", tests AS (\nSELECT g.threshold", 1) + """)
+SELECT count(significant) AS tests_run, CASE WHEN count(significant) = 0 THEN 'INSUFFICIENT'
+       WHEN bool_and(significant) THEN 'SUPPORTED' ELSE 'PARTIAL/NOT SUPPORTED' END AS conclusion FROM tests"""))
 def _(spark, sf):
     return stats.conclusion(stats.threshold_tests(indexed_comments(spark, sf)))
 
 
 @query("X1_high_confidence", sc_sql(f"""
 , w AS (SELECT * FROM x WHERE ai_confidence > 0.9e0 OR ai_confidence < 0.1e0)
-SELECT n1, n0, round(mean1, 9) AS mean1, round(mean0, 9) AS mean0, round(u, 3) AS u, round(z, 6) AS z,
-       round(delta, 9) AS delta, round(p_value, 6) AS p_value, CAST(NULL AS VARCHAR) AS error
-FROM ({u_test('w', 'rbi', 'label = 1')}) t"""))
+SELECT n1, n0, CASE WHEN ok THEN round(mean1, 9) END AS mean1, CASE WHEN ok THEN round(mean0, 9) END AS mean0,
+       CASE WHEN ok THEN round(u, 3) END AS u, CASE WHEN ok THEN round(z, 6) END AS z,
+       CASE WHEN ok THEN round(delta, 9) END AS delta, CASE WHEN ok THEN round(p_value, 6) END AS p_value,
+       CASE WHEN NOT ok THEN 'insufficient samples (bots=' || n1 || ', humans=' || n0 || ')' END AS error
+FROM (SELECT *, n1 > 5 AND n0 > 5 AND n1 + n0 >= 50 AS ok FROM ({u_test('w', 'rbi', 'label = 1')}) u) t"""))
 def _(spark, sf):
     rows = indexed_comments(spark, sf).where(ix.strictly_confident(F.col("ai_confidence")))
-    return rounded(stats.guarded_test(rows, "rbi", F.col("label") == 1, 10), u=3)
+    return rounded(stats.guarded_test(rows, "rbi", F.col("label") == 1, 5, min_rows=50), u=3)
 
 
 @query("X3_cliffs_delta", sc_sql(f"""
@@ -430,7 +435,7 @@ def _(spark, sf):
     return rounded(stats.anova_p(t, F.col("n_groups") - 1, F.col("n") - F.col("n_groups")))
 
 
-def _two_way_sql(source: str, value: str) -> str:
+def _two_way_sql(source: str, value: str, min_rows: int) -> str:
     pick = lambda a, b: f"(leaning = '{a}' AND label = {b})"
     cells = {"11": pick("Left", 0), "12": pick("Left", 1), "21": pick("Right", 0), "22": pick("Right", 1)}
     aggs = ", ".join(f"count({value}) FILTER {w} * 1e0 AS n{k}, avg({value}) FILTER {w} AS m{k}, "
@@ -444,19 +449,24 @@ def _two_way_sql(source: str, value: str) -> str:
 f AS (SELECT 'leaning' AS term, n, rss, {main('11', '21', '12', '22')} AS ss FROM q
       UNION ALL SELECT 'label', n, rss, {main('11', '12', '21', '22')} FROM q
       UNION ALL SELECT 'leaning:label', n, rss, {inter} FROM q),
-h AS (SELECT *, ss / (rss / (n - 4)) AS f FROM f)
-SELECT term, CAST(n AS BIGINT) AS n, round(ss, 6) AS sum_sq, round(rss, 6) AS ss_residual, round(f, 6) AS f_stat,
-       round({f_tail('f', '1', '(n - 4)')}, 6) AS p_value, CAST(NULL AS VARCHAR) AS error FROM h"""
+h AS (SELECT *, n >= {min_rows} AND ss IS NOT NULL AS ok, ss / (rss / (n - 4)) AS f FROM f)
+SELECT term, CAST(n AS BIGINT) AS n, CASE WHEN ok THEN round(ss, 6) END AS sum_sq,
+       CASE WHEN ok THEN round(rss, 6) END AS ss_residual, CASE WHEN ok THEN round(f, 6) END AS f_stat,
+       CASE WHEN ok THEN round({f_tail('f', '1', '(n - 4)')}, 6) END AS p_value,
+       CASE WHEN NOT ok THEN 'insufficient data' END AS error FROM h"""
+
+
+INDEX_ROWS, VARIANCE_ROWS = 100, 51  # least rows of the two tests
 
 
-def _two_way(df, value):
-    t = stats.two_way_anova(df, value, "leaning", ["Left", "Right"], "label", [0, 1], min_rows=100)
+def _two_way(df, value, min_rows):
+    t = stats.two_way_anova(df, value, "leaning", ["Left", "Right"], "label", [0, 1], min_rows=min_rows)
     return rounded(stats.anova_p(t, F.lit(1), F.col("n") - 4))
 
 
-@query("X9_two_way_anova", f"WITH {SIDED} {_two_way_sql('y', 'rbi')}")
+@query("X9_two_way_anova", f"WITH {SIDED} {_two_way_sql('y', 'rbi', 100)}")
 def _(spark, sf):
-    return _two_way(sided(spark, sf), "rbi")
+    return _two_way(sided(spark, sf), "rbi", INDEX_ROWS)
 
 
 EV = """ev AS (SELECT r.*, e.ev, e.n AS n_replies FROM x r JOIN (
@@ -466,10 +476,10 @@ EV = """ev AS (SELECT r.*, e.ev, e.n AS n_replies FROM x r JOIN (
 
 
 @query("X9_two_way_anova_on_variance", f"""WITH {SC}, {LEANING}, {EV.format(var='var_pop', s='s')},
-y AS (SELECT ev.*, l.leaning FROM ev JOIN leaning l ON ev.author_id = l.author_id) {_two_way_sql('y', 'ev')}""")
+y AS (SELECT ev.*, l.leaning FROM ev JOIN leaning l ON ev.author_id = l.author_id) {_two_way_sql('y', 'ev', 51)}""")
 def _(spark, sf):
     roots = stats.roots_with_variance(indexed_comments(spark, sf), "s", "offensive_prob", population=True)
-    return _two_way(roots.join(leaning(spark, sf), "author_id"), "ev")
+    return _two_way(roots.join(leaning(spark, sf), "author_id"), "ev", VARIANCE_ROWS)
 
 
 @query("X10_trigger_effect", f"""WITH {SC}, {EV.format(var='var_samp', s='sentiment_prob')},
