@@ -100,6 +100,52 @@ def test_comment_ids_follow_the_tree(spark, tmp_path):
     assert got == {"a": (1, None, 1), "b": (2, 1, 1), "c": (3, 1, 1), "d": (4, None, 1)}
 
 
+def nested(depth):
+    """A chain of replies, written by hand: deeper than the encoder goes."""
+    text = '{"username": "u", "link": "1"'
+    for i in range(2, depth + 1):
+        text += f', "replies_content": [{{"username": "u", "link": "{i}"'
+    return text + "}" + "]}" * (depth - 1)
+
+
+def test_threads_of_any_depth(spark, tmp_path):
+    write(tmp_path, "alice.json", nested(50))
+    write(tmp_path, "broken.json", '[{"username": "x", ')
+    write(tmp_path, "deep.json", nested(700))
+    write(tmp_path, "flat.json", '{"username": "u", "replies_content": "none"}')
+    posts, bad = files.read_threads(spark, str(tmp_path))
+    unread = ["broken.json", "deep.json", "flat.json"]
+    assert sorted(r["file"] for r in bad.collect()) == unread
+    got = [(r["id"], r["parent_id"], len(r["path"])) for r in threads.flatten_threads(posts).collect()]
+    assert sorted(got) == sorted((str(i), str(i - 1) if i > 1 else "", i - 1) for i in range(1, 51))
+    sink = str(tmp_path / "out")
+    jobs.ingest_threads(spark, str(tmp_path / "*.json"), sink, str(tmp_path / "state"))
+    assert jobs.ingested_total(spark, sink).first()["rows"] == 50
+    assert sorted(r["file"] for r in spark.read.parquet(sink + ".bad").collect()) == unread
+
+
+def test_four_hundred_levels_are_read(spark, tmp_path):
+    write(tmp_path, "alice.json", nested(400))
+    posts, bad = files.read_threads(spark, str(tmp_path))
+    assert bad.count() == 0
+    assert [r["direct_replies"] for r in threads.direct_replies(posts).collect()] == [1]
+
+
+def test_cycles_are_told(spark):
+    rows = spark.createDataFrame([(1, 0, None), (1, 1, 0), (1, 1, 1)], "t int, n int, p int")
+    with pytest.raises(ValueError):
+        threads.tree_depths(rows, "t", "n", "p")
+
+
+def test_typed_replies(spark):
+    schema = "link string, username string, content string, likes long, retweet long, share long, views long, replies long"
+    posts = spark.createDataFrame(
+        [("1", "p", None, 1, 1, 1, None, 1, [("2", "a", "x", 1, 1, 1, 1, 1)], "z")],
+        f"{schema}, replies_content array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>, author_id string")
+    got = sorted((r["id"], r["parent_id"], r["content"], r["views"]) for r in threads.flatten_threads(posts).collect())
+    assert got == [("1", "", "", 0), ("2", "1", "x", 1)]
+
+
 def test_deep_trees(spark):
     chain = spark.createDataFrame([(1, i, i - 1 if i else None) for i in range(6)], "t int, n int, p int")
     got = {r["n"]: r["depth"] for r in threads.tree_depths(chain, "t", "n", "p").collect()}

@@ -2,64 +2,69 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadtide.functions import text as tx
 from threadtide.operators.ranks import global_row_number
-from threadtide.session import cut_lineage
-from threadtide.sources.schemas import COUNTERS
+from threadtide.session import cut_lineage, fresh_path
+from threadtide.sources.schemas import COUNTERS, JSON_DEPTH, NODE
 
 
-def _levels(element: T.StructType) -> int:
-    for f in element.fields:
-        if f.name == "replies_content":
-            return 1 + _levels(f.dataType.elementType)
-    return 1
+def _replies(posts: DataFrame) -> Column:
+    """The replies as JSON text; typed arrays are turned into text."""
+    if "replies_content" not in posts.columns:
+        return F.lit(None).cast("string")
+    held = F.col("replies_content")
+    return held if posts.schema["replies_content"].dataType == T.StringType() else F.to_json(held)
 
 
-def _rows(node: Column, levels: int, path: Column, parent_id: Column, parent_user: Column) -> Column:
-    """The node and all below it, in pre-order, as an array of flat structs."""
-    text = lambda n: F.coalesce(node[n], F.lit(""))
-    own = F.struct(
+def _row(value: Callable[[str], Column], parent_id: Column, parent_user: Column, path: Column, below: Column) -> list[Column]:
+    text = lambda n: F.coalesce(value(n), F.lit(""))
+    return [
         text("link").alias("id"),
         text("username").alias("username"),
         text("content").alias("content"),
         parent_id.alias("parent_id"),
-        *[F.coalesce(node[c], F.lit(0)).alias(c) for c in COUNTERS],
+        *[F.coalesce(value(c), F.lit(0)).alias(c) for c in COUNTERS],
         path.alias("path"),
         parent_user.alias("parent_username"),
-    )
-    if levels == 1:
-        return F.array(own)
-    below = F.transform(
-        F.coalesce(node["replies_content"], F.array()),
-        lambda child, i: _rows(child, levels - 1, F.concat(path, F.array(i)), text("link"), text("username")),
-    )
-    return F.concat(F.array(own), F.flatten(below))
-
-
-def _post_node(posts: DataFrame) -> tuple[Column, int]:
-    fields = [f for f in posts.schema.fields if f.name in
-              ("username", "content", "link", "replies_content", *COUNTERS)]
-    return F.struct(*[f.name for f in fields]), _levels(T.StructType(fields))
+        below.alias("_below"),
+    ]
 
 
 def flatten_threads(posts: DataFrame) -> DataFrame:
     """One row per post, comment and reply with its parent's id and the author of the file.
 
-    One generator over each post: a single pass without shuffles. ``path`` holds the sibling positions
-    below the post and gives the pre-order.
+    Threads unfold level by level until none has replies left, without shuffles; each level is a written
+    stage that parses only what the level above left as text. ``path`` holds the sibling positions below the
+    post and gives the pre-order.
     """
-    node, levels = _post_node(posts)
     keep = [c for c in ("author_id", "post_id") if c in posts.columns]
-    rows = _rows(F.col("_n"), levels, F.array().cast("array<int>"), F.lit(""), F.lit(""))
-    return (
-        posts.select(*keep, node.alias("_n"))
-        .select(*keep, F.explode(rows).alias("r"))
-        .select(*keep, "r.*")
-    )
+    nothing = F.lit("")
+    top = _row(F.col, nothing, nothing, F.array().cast("array<int>"), _replies(posts))
+    level = posts.select(*keep, *top)
+    path, schema = fresh_path(posts.sparkSession, "threads"), level.schema
+
+    def written(rows: DataFrame, nth: int) -> DataFrame:
+        rows.write.parquet(f"{path}/level={nth}")
+        return posts.sparkSession.read.schema(schema).parquet(f"{path}/level={nth}")
+
+    level = written(level, 0)
+    for nth in count(1):
+        replies = F.from_json("_below", T.ArrayType(NODE), JSON_DEPTH)
+        below = level.where("_below IS NOT NULL").select(
+            *keep, "id", "username", F.col("path").alias("_above"), F.posexplode(replies).alias("_i", "_n"))
+        level = written(below.where("_n IS NOT NULL").select(*keep, *_row(
+            lambda n: F.col("_n")[n], F.col("id"), F.col("username"),
+            F.concat("_above", F.array("_i")), F.col("_n.replies_content"))), nth)
+        if level.isEmpty():
+            return posts.sparkSession.read.schema(schema).parquet(path).drop("level", "_below")
 
 
 def numbered_posts(posts: DataFrame, order: str) -> DataFrame:
@@ -101,24 +106,24 @@ def comments_table(posts: DataFrame) -> DataFrame:
     )
 
 
-def tree_depths(df: DataFrame, thread: str, node: str, parent: str, max_levels: int = 1000) -> DataFrame:
+def tree_depths(df: DataFrame, thread: str, node: str, parent: str) -> DataFrame:
     """T4: depth of every node of trees given as (thread, node, parent) rows, of any depth.
 
-    One equi-join per level; a finished level is written to the shared folder, so neither the lineage
-    nor the work grows with the depth.
+    One equi-join per level; links and finished levels are written to the shared folder, so neither the
+    lineage nor the work grows with the depth. A path longer than the number of links can only be a cycle.
     """
-    links = df.select(thread, node, parent)
+    links = cut_lineage(df.select(thread, node, parent))
     level = links.where(F.col(parent).isNull()).select(thread, node, F.lit(0).cast("bigint").alias("depth"))
-    level = cut_lineage(level)
-    done = level
+    levels = [level]
     children = links.where(F.col(parent).isNotNull())
-    for _ in range(max_levels):
+    most = children.count()
+    while len(levels) <= most + 1:
         above = level.select(thread, F.col(node).alias(parent), (F.col("depth") + 1).alias("depth"))
         level = cut_lineage(children.join(above, [thread, parent]).select(thread, node, "depth"))
         if level.isEmpty():
-            return done
-        done = done.unionByName(level)
-    raise ValueError(f"a tree is deeper than {max_levels} levels, or has a cycle")
+            return reduce(DataFrame.unionByName, levels)
+        levels.append(level)
+    raise ValueError("a node is its own ancestor")
 
 
 def depth_counts(depths: DataFrame) -> DataFrame:
@@ -132,7 +137,13 @@ def depth_counts(depths: DataFrame) -> DataFrame:
 
 def direct_replies(posts: DataFrame) -> DataFrame:
     """T5: number of comments directly below each post."""
-    return posts.select("link", F.size(F.coalesce("replies_content", F.array())).cast("bigint").alias("direct_replies"))
+    return posts.select("link", reply_count(posts).alias("direct_replies"))
+
+
+def reply_count(posts: DataFrame) -> Column:
+    """T5: the length of a post's list of replies."""
+    held = F.from_json(_replies(posts), "array<string>", JSON_DEPTH)
+    return F.size(F.coalesce(held, F.array().cast("array<string>"))).cast("bigint")
 
 
 def engagement(posts: DataFrame, has_comments: Column) -> DataFrame:

@@ -12,8 +12,6 @@ from threadtide.session import fresh_path
 from threadtide.sources import files
 from threadtide.sources.schemas import COUNTERS
 
-LEVELS = 4  # turn 7 lies three levels below turn 0
-
 # counters of a turn, derived from its ids and text
 COUNTER_SQL = {
     "likes": "length(text)", "retweet": "mod(conv_id * 3 + turn, 11)", "share": "mod(conv_id + turn, 5)",
@@ -22,7 +20,7 @@ COUNTER_SQL = {
 
 
 def nested_posts(spark, sf):
-    """View 2 nested: one post per conversation, comments below it to the full depth of the view."""
+    """View 2 nested: one post per conversation, all that is below it as JSON text."""
     t = views.threads(spark, sf)
     k = F.col("conv_id") + F.col("turn")
     node = F.struct(
@@ -34,18 +32,23 @@ def nested_posts(spark, sf):
     )
     # a conversation is a bounded handful of turns
     per = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(node)).alias("nodes"))
+    own = ("username", "content", *COUNTERS, "link")
+
+    def replies(ready, turn):
+        return F.concat(F.lit("["), F.concat_ws(",", F.transform(F.filter(ready, lambda r: r["parent"] == turn), lambda r: r["text"])), F.lit("]"))
 
-    def shaped(n, level):
-        fields = [n[f].alias(f) for f in ("username", "content", *COUNTERS, "link")]
-        if level > 1:
-            below = F.filter("nodes", lambda m: m["parent_turn"] == n["turn"])
-            fields.append(F.transform(below, lambda m: shaped(m, level - 1)).alias("replies_content"))
-        return F.struct(*fields)
+    def hang(ready, n):
+        """From the last turn to the first: a turn takes the finished replies below it and waits for its parent."""
+        text = F.to_json(F.struct(*[n[f].alias(f) for f in own]))
+        text = F.concat(F.substr(text, F.lit(1), F.length(text) - 1), F.lit(',"replies_content":'), replies(ready, n["turn"]), F.lit("}"))
+        done = F.struct(n["parent_turn"].cast("bigint").alias("parent"), text.alias("text"))
+        return F.concat(F.array(done), F.filter(ready, lambda r: r["parent"] != n["turn"]))
 
+    below = F.aggregate(F.reverse(F.slice("nodes", 2, F.size("nodes"))), F.array().cast("array<struct<parent:bigint,text:string>>"), hang)
     root = F.element_at("nodes", 1)
     return per.select(
         "conv_id", F.concat(F.lit("acct"), (F.col("conv_id") % 20).cast("string")).alias("author_id"),
-        shaped(root, LEVELS).alias("p")).select("conv_id", "author_id", "p.*")
+        *[root[f].alias(f) for f in own], replies(below, root["turn"]).alias("replies_content"))
 
 
 FLAT = "fl AS (SELECT 'acct' || CAST(mod(conv_id, 20) AS VARCHAR) AS author_id, CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS id, " \
@@ -113,7 +116,8 @@ SELECT count(*) AS total_posts, count(*) FILTER (id IN (SELECT parent_id FROM fl
        CAST(sum(views) AS BIGINT) AS total_views, round(avg(likes), 9) AS avg_likes,
        round(avg(views) FILTER (views > 0), 9) AS avg_views FROM fl WHERE parent_id = ''"""))
 def _(spark, sf):
-    out = tr.engagement(nested_posts(spark, sf), F.size("replies_content") > 0)
+    posts = nested_posts(spark, sf)
+    out = tr.engagement(posts, tr.reply_count(posts) > 0)
     return out.withColumns({c: F.round(c, 9) for c in ("avg_likes", "avg_views")})
 
 
@@ -143,8 +147,9 @@ def _(spark, sf):
 def thread_files(spark, sf, bad: bool = False) -> str:
     """The nested posts as JSON, one post per line, a folder per author; optionally with broken lines."""
     path = fresh_path(spark, "threads")
-    lines = nested_posts(spark, sf).select("author_id", "conv_id", F.to_json(F.struct(
-        "username", "content", *COUNTERS, "link", "replies_content")).alias("value"))
+    own = F.to_json(F.struct("username", "content", *COUNTERS, "link"))
+    line = F.concat(F.substr(own, F.lit(1), F.length(own) - 1), F.lit(',"replies_content":'), "replies_content", F.lit("}"))
+    lines = nested_posts(spark, sf).select("author_id", "conv_id", line.alias("value"))
     if bad:
         broken = F.when(F.col("conv_id") % 10 == 3, F.concat(F.lit('{"username": '), F.col("conv_id").cast("string"), F.lit(", oops")))
         empty = F.when(F.col("conv_id") % 10 == 4, "{}")
@@ -155,21 +160,21 @@ def thread_files(spark, sf, bad: bool = False) -> str:
 
 @query("S1_read_threads", th_sql(f", {FLAT} SELECT * FROM fl"))
 def _(spark, sf):
-    posts, _ = files.read_threads(spark, thread_files(spark, sf), LEVELS, multi_line=False, author_from_file=False)
+    posts, _ = files.read_threads(spark, thread_files(spark, sf), multi_line=False, author_from_file=False)
     return tr.flatten_threads(posts).drop("path", "parent_username")
 
 
 @query("S2_bad_records", "SELECT count(DISTINCT conv_id) AS bad_records FROM conversations WHERE mod(conv_id, 10) = 3")
 def _(spark, sf):
     path = thread_files(spark, sf, bad=True)
-    _, bad = files.read_threads(spark, path, LEVELS, multi_line=False, author_from_file=False)
+    _, bad = files.read_threads(spark, path, multi_line=False, author_from_file=False)
     return bad.agg(F.count("*").alias("bad_records"))
 
 
 @query("S3_skip_empty", "SELECT count(DISTINCT conv_id) AS posts FROM conversations WHERE mod(conv_id, 10) NOT IN (3, 4)")
 def _(spark, sf):
     path = thread_files(spark, sf, bad=True)
-    posts, _ = files.read_threads(spark, path, LEVELS, multi_line=False, author_from_file=False)
+    posts, _ = files.read_threads(spark, path, multi_line=False, author_from_file=False)
     return posts.agg(F.count("*").alias("posts"))
 
 
@@ -237,18 +242,28 @@ def _(spark, sf):
     from threadtide.streaming import jobs
 
     sink = fresh_path(spark, "ingested")
-    jobs.ingest_threads(spark, thread_files(spark, sf), sink, fresh_path(spark, "state"), LEVELS,
+    jobs.ingest_threads(spark, thread_files(spark, sf), sink, fresh_path(spark, "state"),
                         multi_line=False, author_from_file=False)
     return spark.read.parquet(sink).select("author_id", "id", "username", "parent_id", "num_unicode_chars")
 
 
+@query("ST1_bad_records", "SELECT count(DISTINCT conv_id) AS bad_records FROM conversations WHERE mod(conv_id, 10) = 3")
+def _(spark, sf):
+    from threadtide.streaming import jobs
+
+    sink = fresh_path(spark, "ingested")
+    jobs.ingest_threads(spark, thread_files(spark, sf, bad=True), sink, fresh_path(spark, "state"),
+                        multi_line=False, author_from_file=False)
+    return spark.read.parquet(f"{sink}.bad").agg(F.count("*").alias("bad_records"))
+
+
 @query("S8_append_total", "SELECT count(*) AS rows FROM conversations")
 def _(spark, sf):
     from threadtide.streaming import jobs
 
     source, sink, state = thread_files(spark, sf), fresh_path(spark, "ingested"), fresh_path(spark, "state")
     for _ in range(2):  # the second run finds nothing new
-        jobs.ingest_threads(spark, source, sink, state, LEVELS, multi_line=False, author_from_file=False)
+        jobs.ingest_threads(spark, source, sink, state, multi_line=False, author_from_file=False)
     return jobs.ingested_total(spark, sink)
 
 

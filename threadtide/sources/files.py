@@ -8,38 +8,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadtide.sources.schemas import post_schema
+from threadtide.sources.schemas import JSON_DEPTH, NODE
 
 CORRUPT = "_corrupt_record"
 
 
-def read_threads(spark: SparkSession, path: str, levels: int = 3, multi_line: bool = True,
-                 author_from_file: bool = True) -> tuple[DataFrame, DataFrame]:
+def read_threads(spark: SparkSession, path: str, multi_line: bool = True, author_from_file: bool = True) -> tuple[DataFrame, DataFrame]:
     """Posts of all thread files below ``path`` and the records that could not be read.
 
     A file holds one post or an array of posts (or one post per line with ``multi_line`` off). The author
-    is the file's name without its ending, or a partition folder ``author_id=...``. Returns
-    (posts, bad): bad has the file and the offending text; empty objects are skipped.
+    is the file's name without its ending, or a partition folder ``author_id=...``. Replies are read as JSON
+    text, whatever their depth. Returns (posts, bad): bad has the file and the offending text; empty objects
+    are skipped.
     """
-    schema = T.StructType(post_schema(levels).fields + [T.StructField(CORRUPT, T.StringType())])
+    schema = T.StructType(NODE.fields + [T.StructField(CORRUPT, T.StringType())])
     raw = (
         spark.read.schema(schema).option("multiLine", multi_line).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT).json(path)
+        .option("columnNameOfCorruptRecord", CORRUPT).options(**JSON_DEPTH).json(path)
         .withColumn("_file", F.col("_metadata.file_path"))
     )
     return split_bad(raw, author_from_file)
 
 
 def split_bad(raw: DataFrame, author_from_file: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Good and bad records of a permissive read."""
+    """Good and bad records of a permissive read.
+
+    Bad are also posts whose replies are no list, or nest deeper than the JSON writer goes (about 500 levels
+    of replies): they are recorded, not cut.
+    """
     # the reader refuses plans that need nothing but the corrupt column, so a data column stays in the filter
     held = F.length(F.concat_ws("", "username", "link")) >= 0
-    bad = raw.where(F.col(CORRUPT).isNotNull() & held).select(
-        F.regexp_extract("_file", r"([^/]+)$", 1).alias("file"), F.col(CORRUPT).alias("error"))
+    lost = F.col("replies_content").isNotNull() & F.from_json("replies_content", "array<string>", JSON_DEPTH).isNull()
+    bad = raw.where((F.col(CORRUPT).isNotNull() | lost) & held).select(
+        F.regexp_extract("_file", r"([^/]+)$", 1).alias("file"),
+        F.coalesce(CORRUPT, "replies_content").alias("error"))
     empty = F.lit(True)
     for name in ("username", "content", "link", "replies_content"):
         empty = empty & F.col(name).isNull()
-    posts = raw.where(F.col(CORRUPT).isNull() & ~empty).drop(CORRUPT)
+    posts = raw.where(F.col(CORRUPT).isNull() & ~lost & ~empty).drop(CORRUPT)
     if author_from_file:
         posts = posts.withColumn("author_id", F.regexp_extract("_file", r"([^/]+)\.json$", 1))
     return posts, bad

@@ -7,15 +7,14 @@ from pyspark.sql import types as T
 COUNTERS = ("likes", "retweet", "share", "views", "replies")
 
 
-def post_schema(levels: int = 3) -> T.StructType:
-    """A post with ``levels`` levels in all: post, comment, reply, ..."""
-    fields = [T.StructField(n, T.StringType()) for n in ("username", "content")]
-    fields += [T.StructField(n, T.LongType()) for n in COUNTERS]
-    fields.append(T.StructField("link", T.StringType()))
-    if levels > 1:
-        fields.append(T.StructField("replies_content", T.ArrayType(post_schema(levels - 1))))
-    return T.StructType(fields)
-
+#: A post, comment or reply; its own replies stay JSON text, so a thread can have any depth.
+NODE = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("username", "content")]
+    + [T.StructField(n, T.LongType()) for n in COUNTERS]
+    + [T.StructField(n, T.StringType()) for n in ("link", "replies_content")]
+)
+#: The JSON parser's limit on nesting, two for each level of replies.
+JSON_DEPTH = {"maxNestingDepth": "1000000"}
 
 LEANING = T.StructType([T.StructField("author_id", T.StringType()), T.StructField("leaning", T.StringType())])
 LINKS = T.StructType([

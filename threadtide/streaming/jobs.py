@@ -12,35 +12,40 @@ from threadtide.functions import clean as cl
 from threadtide.functions import text as tx
 from threadtide.operators.threads import flatten_threads
 from threadtide.sources.files import CORRUPT, split_bad
-from threadtide.sources.schemas import post_schema
+from threadtide.sources.schemas import JSON_DEPTH, NODE
 
 
-def ingest_threads(spark: SparkSession, source: str, sink: str, checkpoint: str, levels: int = 3,
-                   multi_line: bool = True, author_from_file: bool = True) -> None:
+def ingest_threads(spark: SparkSession, source: str, sink: str, checkpoint: str, multi_line: bool = True,
+                   author_from_file: bool = True, bad_sink: str | None = None) -> None:
     """ST1/S8: flatten, feature and tidy the thread files that are new since the last run.
 
-    The checkpoint records finished files and the parquet sink commits per batch, so each file lands
-    exactly once however often the job is started.
+    The checkpoint records finished files and every batch overwrites its own folder, so each file lands
+    exactly once however often the job is started. Records that cannot be read go to ``bad_sink`` (by default
+    the sink's name with ``.bad``) with their file.
     """
-    fields = [*post_schema(levels).fields, T.StructField(CORRUPT, T.StringType())]
+    fields = [*NODE.fields, T.StructField(CORRUPT, T.StringType())]
     if not author_from_file:
         fields.append(T.StructField("author_id", T.StringType()))
     raw = (
         spark.readStream.schema(T.StructType(fields)).option("multiLine", multi_line)
-        .option("columnNameOfCorruptRecord", CORRUPT).json(source)
+        .option("columnNameOfCorruptRecord", CORRUPT).options(**JSON_DEPTH).json(source)
         .withColumn("_file", F.col("_metadata.file_path"))
     )
-    posts, _ = split_bad(raw, author_from_file)
-    flat = flatten_threads(posts)
     c = F.col("content")
-    rows = flat.select(
-        "author_id", "id", "username", "parent_id", "content",
-        *[f.alias(k) for k, f in tx.comment_features(c, F.col("username"), F.col("parent_username")).items()],
-        cl.tidy(cl.mark_links(cl.transliterate(cl.not_null(c)))).alias("tidied"),
-    )
+    features = tx.comment_features(c, F.col("username"), F.col("parent_username"))
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        posts, bad = split_bad(batch, author_from_file)
+        bad.write.mode("overwrite").parquet(f"{bad_sink or sink + '.bad'}/batch={batch_id}")
+        flatten_threads(posts).select(
+            "author_id", "id", "username", "parent_id", "content",
+            *[f.alias(k) for k, f in features.items()],
+            cl.tidy(cl.mark_links(cl.transliterate(cl.not_null(c)))).alias("tidied"),
+        ).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
     query = (
-        rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start()
+        raw.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
     )
     query.awaitTermination()
 
