@@ -152,17 +152,17 @@ def _(spark, sf):
 
 
 @query("P16_user_status", sc_sql("""
-SELECT commenter_id, CASE WHEN h > 0 THEN 'FLAGGED' WHEN (h + o) * 1e0 / n > 0.3e0 THEN 'MONITOR' ELSE 'NORMAL' END
-       AS status
-FROM (SELECT commenter_id, count(*) AS n, count(*) FILTER (hate_label = 'HATE' AND mod(comment_id, 40) = 0) AS h,
-             count(*) FILTER (offensive_label = 'offensive' AND mod(comment_id, 2) = 0) AS o
-      FROM sc GROUP BY 1) q"""))
+SELECT commenter_id, author_id, post_id,
+       CASE WHEN h > 0 THEN 'FLAGGED' WHEN (h + o) * 1e0 / n > 0.3e0 THEN 'MONITOR' ELSE 'NORMAL' END AS status
+FROM (SELECT commenter_id, author_id, post_id, count(*) AS n, count(*) FILTER (hate_label = 'HATE') AS h,
+             count(*) FILTER (offensive_label = 'offensive') AS o
+      FROM sc GROUP BY ALL) q"""))
 def _(spark, sf):
-    h = F.count_if((F.col("hate_label") == "HATE") & (F.col("comment_id") % 40 == 0))
-    o = F.count_if((F.col("offensive_label") == "offensive") & (F.col("comment_id") % 2 == 0))
-    per = scored_comments(spark, sf).groupBy("commenter_id").agg(h.alias("h"), o.alias("o"), F.count("*").alias("n"))
-    return per.select(
-        "commenter_id", ix.user_status(F.col("h"), (F.col("h") + F.col("o")) / F.col("n")).alias("status"))
+    # users below one post: few comments each, so that all three answers occur
+    keys = ("commenter_id", "author_id", "post_id")
+    h, o = F.count_if(F.col("hate_label") == "HATE"), F.count_if(F.col("offensive_label") == "offensive")
+    per = scored_comments(spark, sf).groupBy(*keys).agg(h.alias("h"), o.alias("o"), F.count("*").alias("n"))
+    return per.select(*keys, ix.user_status(F.col("h"), (F.col("h") + F.col("o")) / F.col("n")).alias("status"))
 
 
 @query("P17_user_search", sc_sql("""
@@ -295,11 +295,11 @@ def _(spark, sf):
 @query("J4_suffix_merge", sc_sql("""
 SELECT a.comment_id, a.ai_confidence, b.rbi AS rbi_proc, b.ai_confidence AS ai_confidence_proc
 FROM sc a JOIN (SELECT comment_id, round(rbi, 9) AS rbi, 1 - ai_confidence AS ai_confidence FROM x) b
-  ON a.comment_id = b.comment_id WHERE a.label = 1"""))
+  ON a.comment_id = b.comment_id"""))
 def _(spark, sf):
     from threadtide.operators.joins import merge_with_suffix
 
-    left = scored_comments(spark, sf).where("label = 1").select("comment_id", "ai_confidence")
+    left = scored_comments(spark, sf).select("comment_id", "ai_confidence")
     right = indexed_comments(spark, sf).select(
         "comment_id", F.round("rbi", 9).alias("rbi"), (1 - F.col("ai_confidence")).alias("ai_confidence"))
     return merge_with_suffix(left, right, "comment_id", "_proc").withColumnRenamed("rbi", "rbi_proc")
@@ -384,19 +384,18 @@ def _(spark, sf):
 
 
 @query("Q6_sample_guards", sc_sql("""
-SELECT author_id, n1, n0, CASE WHEN n1 > 10 AND n0 > 10 AND post <= 10 THEN NULL ELSE 'insufficient' END AS error,
-       CASE WHEN n1 > 10 AND n0 > 10 AND post <= 10 THEN round(d, 9) END AS difference
-FROM (SELECT author_id, count(*) FILTER (label = 1) AS n1, count(*) FILTER (label = 0) AS n0, max(post_id) AS post,
+SELECT author_id, post_id, n1, n0, CASE WHEN n1 > 10 AND n0 > 10 AND post_id <= 10 THEN NULL ELSE 'insufficient' END AS error,
+       CASE WHEN n1 > 10 AND n0 > 10 AND post_id <= 10 THEN round(d, 9) END AS difference
+FROM (SELECT author_id, post_id, count(*) FILTER (label = 1) AS n1, count(*) FILTER (label = 0) AS n0,
              avg(CASE WHEN label = 1 THEN rbi END) - avg(CASE WHEN label = 0 THEN rbi END) AS d
-      FROM x WHERE post_id <= 10 OR author_id < 'a3' GROUP BY 1) q"""))
+      FROM x GROUP BY ALL) q"""))
 def _(spark, sf):
-    rows = indexed_comments(spark, sf).where("post_id <= 10 OR author_id < 'a3'")
-    per = rows.groupBy("author_id").agg(
+    rows = indexed_comments(spark, sf)
+    per = rows.groupBy("author_id", "post_id").agg(
         F.count_if(F.col("label") == 1).alias("n1"), F.count_if(F.col("label") == 0).alias("n0"),
-        F.max("post_id").alias("post"),
         (F.avg(F.when(F.col("label") == 1, F.col("rbi"))) - F.avg(F.when(F.col("label") == 0, F.col("rbi")))).alias("d"))
-    ok = (F.col("n1") > 10) & (F.col("n0") > 10) & (F.col("post") <= 10)
-    return quality.guarded(per, ok, {"difference": F.round("d", 9)}).select("author_id", "n1", "n0", "error", "difference")
+    ok = (F.col("n1") > 10) & (F.col("n0") > 10) & (F.col("post_id") <= 10)
+    return quality.guarded(per, ok, {"difference": F.round("d", 9)}).select("author_id", "post_id", "n1", "n0", "error", "difference")
 
 
 @query("Q7_drop_incomplete", sc_sql("SELECT comment_id, parent_id, label FROM sc WHERE parent_id IS NOT NULL"))

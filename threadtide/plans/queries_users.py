@@ -125,13 +125,14 @@ def _(spark, sf):
     return rounded(users.label_shares(scored_comments(spark, sf), "commenter_id", "label", 1))
 
 
-# Pairs of neighbouring comments stand in for users with exactly two comments.
-PAIR = "(SELECT *, CAST(floor(comment_id / 3e0) AS BIGINT) AS pair FROM sc WHERE mod(comment_id, 3) < 2)"
+# Neighbouring comments stand in for users: of every six one moves to the group before, so that groups hold two or four.
+PAIR = "(SELECT *, CAST(floor(comment_id / 3e0) AS BIGINT) - CASE WHEN mod(comment_id, 6) = 0 THEN 1 ELSE 0 END AS pair FROM sc)"
 
 
 def _pairs(spark, sf):
-    df = scored_comments(spark, sf).where("comment_id % 3 < 2")
-    return df.withColumn("pair", F.floor(F.col("comment_id") / F.lit(3.0)).cast("bigint"))
+    c = F.col("comment_id")
+    moved = F.when(c % 6 == 0, 1).otherwise(0)
+    return scored_comments(spark, sf).withColumn("pair", F.floor(c / F.lit(3.0)).cast("bigint") - moved)
 
 
 @query("A11_pair_agreement", sc_sql(f"""
