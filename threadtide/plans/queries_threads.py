@@ -214,14 +214,14 @@ def _(spark, sf):
 
 
 @query("S9_grid_output", views.sc_sql("""
-, g(t) AS (VALUES (0.1e0), (0.25e0)), m(min_comments) AS (VALUES (2), (10)),
+, g(t) AS (VALUES (0.05e0), (0.1e0), (0.25e0), (0.5e0)), m(min_comments) AS (VALUES (2), (5), (10)),
 c AS (SELECT t, commenter_id, count(*) AS n FROM sc, g WHERE ai_confidence <= t OR ai_confidence >= 1e0 - t GROUP BY ALL)
 SELECT min_comments, t AS threshold, count(*) AS users, CAST(sum(n) AS BIGINT) AS rows_kept FROM c JOIN m ON n >= min_comments GROUP BY ALL"""))
 def _(spark, sf):
     from threadtide.operators.users import grid_user_labels
 
     path = fresh_path(spark, "grid")
-    files.write_grid(grid_user_labels(views.scored_comments(spark, sf), (2, 10), (0.1, 0.25)), path,
+    files.write_grid(grid_user_labels(views.scored_comments(spark, sf), (2, 5, 10), (0.05, 0.1, 0.25, 0.5)), path,
                      ["min_comments", "threshold"])
     return spark.read.parquet(path).groupBy("min_comments", "threshold").agg(
         F.count("*").alias("users"), F.sum("num_comments").alias("rows_kept"))
