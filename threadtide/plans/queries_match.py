@@ -132,7 +132,7 @@ def _(spark, sf):
 
 @query("V3_truncated_svd")
 def _(spark, sf):
-    lsa, values = vectors.svd_project(table(spark, sf, "documents"), "doc_id", "text", 10, features=500)
+    lsa, values = vectors.svd_project(table(spark, sf, "documents"), "doc_id", "text", vectors.lsa_dims(194))
     first = F.element_at("lsa", 1)
     strength = lsa.agg(F.sqrt(F.sum(first * first)).alias("projected"))  # equals the first singular value
     return strength.select("projected", F.lit(values[0]).alias("singular_value"))

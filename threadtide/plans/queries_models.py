@@ -45,8 +45,8 @@ def _(spark, sf):
 def _(spark, sf):
     df = table(spark, sf, "embeddings").select(
         "vec_id", (F.col("label") % 2).alias("y"), (F.col("vec_id") % 100 / 99.0).alias("conf"), "embedding",
-        F.slice("embedding", 1, 32).alias("first_half"), vectors.normalised(F.col("embedding"), 64).alias("unit"))
-    return models.clustering_matrix(df, "y", "conf", ["embedding", "first_half", "unit"],
+        F.transform("embedding", lambda x: F.abs(x)).alias("magnitude"), vectors.normalised(F.col("embedding"), 64).alias("unit"))
+    return models.clustering_matrix(df, "y", "conf", ["embedding", "magnitude", "unit"],
                                     {"full": None, "conf_0.7": 0.7, "conf_0.9": 0.9}, restarts=2)
 
 
@@ -74,7 +74,7 @@ def _(spark, sf):
 
 
 def _forest(spark, sf):
-    return models.forest_pipeline(NAMES, "label", trees=15, depth=5).fit(training_rows(spark, sf))
+    return models.forest_pipeline(NAMES, "label").fit(training_rows(spark, sf))
 
 
 @query("M15_feature_importance")

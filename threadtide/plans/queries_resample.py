@@ -13,7 +13,7 @@ from threadtide.plans.registry import query
 from threadtide.plans.sqltext import normal_tail
 from threadtide.plans.views import indexed_comments, sc_sql
 
-REPS = 200
+REPS = 1000
 
 
 def draw_sql(key: str, rep: str) -> str:
@@ -91,5 +91,5 @@ def _(spark, sf):
     df = indexed_comments(spark, sf).withColumn(
         "sure", F.greatest("ai_confidence", 1 - F.col("ai_confidence")))
     rate = df.agg(F.avg(1 - F.col("sure"))).first()[0]
-    out = rs.label_flips(df, "rbi", "label", "comment_id", [rate], 50)
+    out = rs.label_flips(df, "rbi", "label", "comment_id", [rate], REPS)
     return out.withColumn("class", ix.robustness_class(F.col("robustness")))
