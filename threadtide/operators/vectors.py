@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadtide.session import cut_lineage
@@ -115,13 +115,14 @@ def lexicon_frequencies(df: DataFrame, key: str, text: str, lexicon: DataFrame,
 def tfidf(df: DataFrame, key: str, text: str, features: int = 5000) -> DataFrame:
     """V2: (key, term, weight) with the most frequent terms, idf ln((1+n)/(1+df))+1 and L2-normed rows.
 
-    The vocabulary is at most ``features`` rows, which bounds what the planner may broadcast.
+    Tokens are counted once, in a written stage. The vocabulary is broadcast: its limit keeps it to ``features``
+    rows. A text has at most as many terms, which bounds the window its norm is taken over.
     """
-    counts = term_counts(df, key, word_tokens(F.col(text)))
-    weights = counts.join(vocabulary(df, counts, features), "term").select(
+    counts = cut_lineage(term_counts(df, key, word_tokens(F.col(text))))
+    weights = counts.join(F.broadcast(vocabulary(df, counts, features)), "term").select(
         key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weights.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return weights.select(key, "term", (F.col("w") / norm).alias("weight"))
 
 
 def vocabulary(df: DataFrame, counts: DataFrame, features: int) -> DataFrame:
