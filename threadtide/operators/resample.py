@@ -102,11 +102,19 @@ def interval(per: DataFrame, value: str) -> DataFrame:
         F.count(value).alias("replicates"),
         F.avg(value).alias("mean"),
         F.stddev_pop(value).alias("std"),
-        F.percentile(value, 0.025).alias("low"),
-        F.percentile(value, 0.975).alias("high"),
+        _quantile(value, 0.025).alias("low"),
+        _quantile(value, 0.975).alias("high"),
     )
 
 
+def _quantile(value: str, p: float) -> Column:
+    """Linear interpolation from the lower neighbour, over one value per replicate."""
+    ordered = F.array_sort(F.collect_list(value))
+    at = (F.size(ordered) - 1) * F.lit(p)
+    low, high = (F.get(ordered, f(at).cast("int")) for f in (F.floor, F.ceil))
+    return low + (high - low) * (at - F.floor(at))
+
+
 Weights = Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]]
 
 _UNIT = "single boolean, v double, c1 array<double>, c0 array<double>, u array<double>, s1 array<double>, s0 array<double>"
