@@ -317,3 +317,33 @@ def test_pipeline_against_the_operators_in_plain_python(spark, tmp_path):
         assert not (r["doc_id"] in ids and (leaks or copy))
     assert 0.5 * len(rows) < len(ids) < len(rows)
     assert len({(r["slot"], r["seq_from"]) for r in out}) == len(out)
+
+
+def test_near_duplicates_of_the_pipeline(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(11)
+    prose = lambda n: [f"w{rnd.randrange(5000)}" for _ in range(n)]
+    texts = []
+    for _ in range(40):
+        base = prose(rnd.randint(60, 300))
+        texts.append(base)
+        for _ in range(3):
+            near = list(base)
+            for at in rnd.sample(range(len(near)), rnd.randint(0, len(near) // 30)):
+                near[at] = "changed"
+            texts.append(near)
+    texts = [" ".join(t) for t in texts] + ["short text", "Short  TEXT", "other text", "", None]
+    rows = [(i // 2 if i % 9 else None, t, "en", "a", "r", 1, i) for i, t in enumerate(texts)]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := words((t or "").lower())) else frozenset() for t in texts]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA).repartition(4), "").collect()
+    assert sorted(group[r["fp"]] for r in kept) == sorted(set(group))  # one row of each group
+    least = {}
+    for g, r in zip(group, rows):
+        least[g] = min(least.get(g, (True, 0)), (r[0] is None, r[0] or 0))
+    assert all(least[group[r["fp"]]] == (r["doc_id"] is None, r["doc_id"] or 0) for r in kept)
