@@ -194,3 +194,15 @@ def test_scorer_failures_become_null(spark):
 def test_keep_first(spark):
     df = spark.createDataFrame([(2, "a", "x"), (1, "a", "y"), (3, "b", "z")], "id int, k string, v string")
     assert sorted((r["k"], r["id"], r["v"]) for r in keep_first(df, ["k"], "id").collect()) == [("a", 1, "y"), ("b", 3, "z")]
+
+
+def test_registered_near_match_searches_below_the_near_copies(spark, tmp_path):
+    from threadtide.plans import catalog
+
+    text = "the quick brown fox jumps over the lazy dog while seven wizards box"
+    worse = text[:20] + "zzzzzzzzzz" + text[30:]  # about a fifth of the letters
+    docs = [(i, t, "en", "web", len(t)) for i, t in enumerate((text, worse, "nothing alike whatsoever in here"), 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    (row,) = catalog.ENTRIES["J11_near_match"].build(spark, str(tmp_path)).collect()
+    assert (row["doc_id"], row["match_id"]) == (1, 2) and 0.65 <= row["score"] < 0.95

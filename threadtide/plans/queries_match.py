@@ -39,7 +39,7 @@ def _(spark, sf):
 # All pairs of long texts are too slow in SQL; tests compare with brute force on a small fixture.
 @query("J11_near_match")
 def _(spark, sf):
-    out = matching.match_texts(labelled(spark, sf), unlabelled(spark, sf), "doc_id", "text", "doc_id", "text", search=False)
+    out = matching.match_texts(labelled(spark, sf), unlabelled(spark, sf), "doc_id", "text", "doc_id", "text")
     return out.withColumn("score", F.round("score", 9))
 
 
