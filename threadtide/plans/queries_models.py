@@ -47,23 +47,23 @@ def _(spark, sf):
         "vec_id", (F.col("label") % 2).alias("y"), (F.col("vec_id") % 100 / 99.0).alias("conf"), "embedding",
         F.transform("embedding", lambda x: F.abs(x)).alias("magnitude"), vectors.normalised(F.col("embedding"), 64).alias("unit"))
     return models.clustering_matrix(df, "y", "conf", ["embedding", "magnitude", "unit"],
-                                    {"full": None, "conf_0.7": 0.7, "conf_0.9": 0.9}, restarts=2)
+                                    {"full": None, "conf_0.7": 0.7, "conf_0.9": 0.9})
 
 
 @query("M4_boosted_trees")
 def _(spark, sf):
-    _, _, metrics = models.train_classifier(training_rows(spark, sf), NAMES, "label", "comment_id", rounds=15, depth=4)
+    _, _, metrics = models.train_classifier(training_rows(spark, sf), NAMES, "label", "comment_id")
     return metrics
 
 
 @query("M5_better_model")
 def _(spark, sf):
-    return models.better_of(training_rows(spark, sf), NAMES, "label", "comment_id", rounds=8, trees=15, depth=4)
+    return models.better_of(training_rows(spark, sf), NAMES, "label", "comment_id")
 
 
 @query("M6_cross_validation")
 def _(spark, sf):
-    return models.cross_validated(training_rows(spark, sf), NAMES, "label", "comment_id", rounds=5, depth=3)
+    return models.cross_validated(training_rows(spark, sf), NAMES, "label", "comment_id")
 
 
 @query("M13_confidence_regression")
@@ -100,7 +100,7 @@ def _(spark, sf):
     # votes weigh by certainty: weighted by P(machine), as the reference does, nearly every user votes 1
     sure = scored_comments(spark, sf).withColumn("sure", F.greatest("ai_confidence", 1 - F.col("ai_confidence")))
     pairs = [(lab, "sure" if lab == "label" else p) for lab, p in PAIRS]
-    return models.user_level_training(sure, FEATURES, pairs, (2, 10), (0.25, 0.5), rounds=5, depth=3)
+    return models.user_level_training(sure, FEATURES, pairs, (2, 5, 10), (0.05, 0.1, 0.25, 0.5))
 
 
 @query("M18_model_round_trip")
