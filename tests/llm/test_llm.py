@@ -319,6 +319,18 @@ def test_pipeline_against_the_operators_in_plain_python(spark, tmp_path):
     assert len({(r["slot"], r["seq_from"]) for r in out}) == len(out)
 
 
+@pytest.mark.parametrize("size, least", [(2, 0.9), (10, 0.9), (200, 0.3)])
+def test_shards_exchange_groups(spark, size, least):
+    n = 8_000
+    rows = [(i, f"text {i // size}") for i in range(n)]
+    placed = sharding.balanced_shards(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert set(Counter(r["shard"] for r in placed).values()) == {n // 8}
+    at = {}
+    for r in placed:
+        at.setdefault(r["doc_id"] // size, set()).add(r["shard"])
+    assert sum(len(x) == 1 for x in at.values()) >= least * len(at)
+
+
 def test_near_duplicates_of_the_pipeline(spark):
     import corpus_pipeline
 

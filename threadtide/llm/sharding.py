@@ -2,9 +2,12 @@
 
 Documents with equal texts are linked. A group of copies is kept as units, one per cell of 256 hash cells, so a
 group that no shard can hold is spread over few. Units start on hashed shards. In each round a group votes for
-the shard that holds most of its documents among those with room; its other units ask to move there, and a shard
-that is asked for more than its room admits a hashed part of them: of whole groups while these are small against
-the room, of single units otherwise. Rounds end when nothing moves. Every shard takes N / 8 rows, at most one
+the shard that holds most of its documents, ties by a hash of the round, and its other units ask to move there.
+Shards exchange: of the requests from s to t and from t to s as many rows pass as stand against each other, and
+what room there is besides, whole groups first come by hash while a shard can hold several of them, single units
+otherwise. Counts by pair of shards and hash bucket decide how far requests are met, so no shard gets more than
+its rows. After a round in which nothing moved, groups vote for shards with room only; rounds end when ``QUIET``
+in a row move nothing. A move always adds to a shard that holds as much of the group or more, so they do end. Every shard takes N / 8 rows, at most one
 apart: what linked documents leave free is filled with unlinked ones, and what a shard has above its rows moves
 on with them. Places come from windows over hashed buckets and one row of offsets per bucket.
 
@@ -14,66 +17,99 @@ each; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadtide.session import cut_lineage
 
-SHARDS, CELLS, ROUNDS, BUCKET_ROWS, MIN_BUCKETS = 8, 256, 20, 20_000, 64
-
-
-def _part(*of: Column | str) -> Column:
-    """A hash in 0..1."""
-    return F.pmod(F.xxhash64(*of), F.lit(1 << 40)) / F.lit(float(1 << 40))
+SHARDS, CELLS, BUCKET_ROWS, MIN_BUCKETS = 8, 256, 20_000, 64
+#: Rounds without a move after which none is left; hash buckets by which requests are met.
+QUIET, DRAWS = 4, 1024
 
 
 def _lookup(values: list[int], at: Column) -> Column:
     return F.get(F.array(*[F.lit(v).cast("bigint") for v in values]), at)
 
 
+def _met(asked: dict[tuple[int, int], list[tuple[int, int]]], room: list[int]) -> dict[tuple[int, int], int]:
+    """For each (from, to) the bucket below which requests are met, so that no shard gets more than its room.
+    ``asked`` has (bucket, rows) in order; ``room`` is used up."""
+    cut = {}
+
+    def most(pair: tuple[int, int], rows: int) -> int:
+        """The rows of the leading buckets that fit into ``rows``."""
+        taken, cut[pair] = 0, 0
+        for bucket, n in asked.get(pair, []):
+            if taken + n > rows:
+                break
+            taken, cut[pair] = taken + n, bucket + 1
+        return taken
+
+    shards = range(len(room))
+    wanted = {pair: sum(n for _, n in x) for pair, x in asked.items()}
+    for s, t in combinations(shards, 2):
+        there, back = wanted.get((s, t), 0), wanted.get((t, s), 0)
+        while True:
+            a = most((s, t), min(there, back + room[t]))
+            b = most((t, s), min(back, a + room[s]))
+            if a <= b + room[t]:
+                break
+            there, back = min(there, b + room[t]), b
+        room[s] += a - b
+        room[t] += b - a
+    return cut
+
+
 def propagate(units: DataFrame, room_of: list[int]) -> DataFrame:
     """``gkey``, ``cell``, ``n``, ``shard`` after the rounds; ``room_of`` has the rows each shard may hold."""
     shards = len(room_of)
     units = cut_lineage(
         units.withColumn("shard", F.pmod(F.xxhash64("gkey", "cell"), F.lit(shards)).cast("int"))
     )
-    for step in range(ROUNDS):
+    step = quiet = 0
+    while quiet < QUIET:
         loads = {r["shard"]: r["n"] for r in units.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row a shard
         room = [max(0, most - loads.get(s, 0)) for s, most in enumerate(room_of)]
         votes = units.groupBy("gkey", "shard").agg(F.sum("n").alias("w"))
+        open_to = votes.where(_lookup(room, F.col("shard")) > 0) if quiet % 2 else votes
+        first = F.max(F.struct("w", F.xxhash64("gkey", "shard", F.lit(step)).alias("tie"), "shard"))
         best = (
-            votes.where(_lookup(room, F.col("shard")) > 0)
-            .groupBy("gkey")
-            .agg(
-                F.max(F.struct("w", F.xxhash64("gkey", "shard").alias("tie"), "shard"))["shard"].alias("target"),
-            )
-            .join(votes.groupBy("gkey").agg(F.max("w").alias("most"), F.sum("w").alias("all")), "gkey")
+            open_to.groupBy("gkey")
+            .agg(first.alias("first"))
+            .select("gkey", F.col("first.shard").alias("target"), F.col("first.w").alias("there"))
+            .join(votes.groupBy("gkey").agg(F.sum("w").alias("all")), "gkey")
         )
-        asked = units.join(best, "gkey", "left").withColumn(
-            "moves", F.coalesce(F.col("target") != F.col("shard"), F.lit(False))
-        )
-        # documents already on a full shard that holds more of the group than the target stay there
-        here = votes.withColumnRenamed("w", "own")
-        aim = votes.select("gkey", F.col("shard").alias("target"), F.col("w").alias("there"))
+        whole = F.col("all") * 4 <= _lookup(room_of, F.col("target"))
+        salt = F.lit(quiet)
+        draw = F.when(whole, F.xxhash64("gkey", salt)).otherwise(F.xxhash64("gkey", "cell", salt))
+        # documents on a shard that holds more of the group than the target stay there
         asked = cut_lineage(
-            asked.join(here, ["gkey", "shard"]).join(aim, ["gkey", "target"], "left").withColumn(
-                "moves",
-                F.col("moves")
-                & ((F.col("own") < F.col("there")) | ((F.col("own") == F.col("there")) & (_lookup(room, F.col("shard")) > 0))),
+            units.join(votes.withColumnRenamed("w", "own"), ["gkey", "shard"])
+            .join(best, "gkey", "left")
+            .select(
+                "gkey",
+                "cell",
+                "n",
+                "shard",
+                F.when((F.col("target") != F.col("shard")) & (F.col("own") <= F.col("there")), F.col("target")).alias("target"),
+                F.pmod(draw, F.lit(DRAWS)).cast("int").alias("draw"),
             )
         )
-        want = {
-            r["target"]: r["n"] for r in asked.where("moves").groupBy("target").agg(F.sum("n").alias("n")).collect()
-        }
-        if not want:
+        counts = asked.where("target IS NOT NULL").groupBy("shard", "target", "draw").agg(F.sum("n").alias("n"))
+        requests: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for r in counts.collect():  # at most DRAWS rows a pair of shards
+            requests.setdefault((r["shard"], r["target"]), []).append((r["draw"], r["n"]))
+        if not requests and not quiet % 2:
             break
-        chance = F.get(F.array(*[F.lit(min(1.0, room[s] / want[s]) if want.get(s) else 0.0) for s in range(shards)]), F.col("target"))
-        small = F.col("all") * 64 <= _lookup(room, F.col("target"))
-        draw = F.when(small, _part("gkey", F.lit(step))).otherwise(_part("gkey", "cell", F.lit(step)))
-        units = cut_lineage(
-            asked.select(
-                "gkey", "cell", "n", F.when(F.col("moves") & (draw < chance), F.col("target")).otherwise(F.col("shard")).alias("shard")
-            )
+        cut = _met({pair: sorted(x) for pair, x in requests.items()}, room)
+        step, quiet = step + 1, 0 if any(cut.values()) else quiet + 1
+        if quiet:
+            continue
+        met = _lookup([cut.get((s, t), 0) for s in range(shards) for t in range(shards)], F.col("shard") * shards + F.col("target"))
+        units = asked.select(
+            "gkey", "cell", "n", F.when(F.col("draw") < met, F.col("target")).otherwise(F.col("shard")).alias("shard")
         )
     return units
 
