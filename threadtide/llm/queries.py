@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadtide.llm import decontam, langid, lines, mixing, quality, quotes, sharding, simhash, substring, tokens
+from threadtide.llm import decontam, divergence, langid, lines, mixing, quality, quotes, sharding, simhash, substring, tokens
 from threadtide.llm.registry import documents, query
 
 
@@ -66,6 +66,34 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query("op11_source_divergence", """
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM w GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS all_n FROM c GROUP BY ALL HAVING sum(docs) >= 30),
+kc AS (SELECT lang, source, term, n FROM c JOIN k USING (lang, term)),
+v AS (SELECT lang, count(*) AS v, sum(all_n) AS nn FROM k GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+m AS (SELECT lang, source, sum(n) AS n FROM kc GROUP BY ALL),
+s AS (SELECT lang, source, v, nn, coalesce(n, 0) AS n FROM g JOIN v USING (lang) LEFT JOIN m USING (lang, source)),
+p AS (SELECT s.lang, s.source, k.term, coalesce(kc.n, 0) AS n,
+      1 + (1000000000::HUGEINT * (coalesce(kc.n, 0) + 5)) // (s.n + 5 * s.v)::HUGEINT AS p,
+      1 + (1000000000::HUGEINT * (k.all_n + 5)) // (s.nn + 5 * s.v)::HUGEINT AS q
+      FROM s JOIN k USING (lang) LEFT JOIN kc ON kc.lang = s.lang AND kc.source = s.source AND kc.term = k.term),
+f AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value
+      FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM o
+QUALIFY part = 'pair' OR rank <= 50
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

@@ -83,6 +83,14 @@ class Block:
             self._bytes = Prefix(CODES[self.data], BYTE_BASE)
         return self._bytes
 
+    def words(self, some: np.ndarray | slice = slice(None)) -> pa.Array:
+        """The words as strings, or those that ``some`` picks."""
+        starts, ends = self.starts[some], self.ends[some]
+        at = np.zeros(len(starts) + 1, np.int64)
+        np.cumsum(ends - starts, out=at[1:])
+        place = np.arange(at[-1]) + np.repeat(starts - at[:-1], ends - starts)
+        return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(self.data[place]))
+
     def row_of_words(self) -> np.ndarray:
         return np.repeat(np.arange(self.rows), np.diff(self.first))
 
@@ -105,8 +113,9 @@ class Block:
         return starts, ends, rows
 
 
-def blocks(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int, Block]]:
-    """Cuts a text column into runs of rows of about ``most_bytes``; a longer text stands alone. NULL is empty."""
+def blocks(column: pa.Array, most_bytes: int = 1 << 20, table: np.ndarray | None = None) -> Iterator[tuple[int, int, Block]]:
+    """Cuts a text column into runs of rows of about ``most_bytes``; a longer text stands alone. NULL is empty.
+    ``table`` replaces every byte first, so that other characters than blanks can part words."""
     column = pc.fill_null(column, "")
     wide = pa.types.is_large_string(column.type)
     _, at, data = column.buffers()
@@ -117,7 +126,8 @@ def blocks(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, i
     low = 0
     while low < len(column):
         high = max(low + 1, int(np.searchsorted(at, at[low] + most_bytes, "right")) - 1)
-        yield low, high, Block(data[at[low] : at[high]], at[low : high + 1] - at[low])
+        part = data[at[low] : at[high]]
+        yield low, high, Block(part if table is None else table[part], at[low : high + 1] - at[low])
         low = high
 
 
