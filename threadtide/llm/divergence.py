@@ -110,7 +110,7 @@ def _among(digest: np.ndarray, bits: np.ndarray) -> np.ndarray:
 def group_counts(docs: DataFrame, some: np.ndarray, bits: int, split: bool) -> DataFrame:
     """Counts of the terms whose digest ``some`` lets through: ``lang``, ``source``, ``digest``, ``low``, ``high``,
     ``n``, ``docs``. Without ``split`` terms are counted by digest, and rows with NULL lang hold a digest's smallest
-    and largest term; with it by term, and both name the term."""
+    and largest term; with it by ``term``, a column more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["lang", "source", "digest", "term", "n", "docs"]
@@ -152,7 +152,7 @@ def kept_counts(docs: DataFrame, least_docs: int = LEAST_DOCS, bits: int = 64) -
     mixed = cut_lineage(texts.where("low <> high").select("digest"))
     clean = counted.where("lang IS NOT NULL").join(known, ["lang", "digest"]).select(*KEYS, F.lit(None).cast("string").alias("term"), "n")
     if not mixed.isEmpty():
-        by_term = cut_lineage(group_counts(docs, bitmap(mixed), bits, split=True).join(mixed, "digest").withColumnRenamed("low", "term"))
+        by_term = cut_lineage(group_counts(docs, bitmap(mixed), bits, split=True).join(mixed, "digest").select(*KEYS, "term", "n", "docs"))
         enough = by_term.groupBy("lang", "digest", "term").agg(F.sum("docs").alias("all")).where(F.col("all") >= least_docs)
         again = by_term.join(enough.drop("all"), ["lang", "digest", "term"]).select(*KEYS, "term", "n")
         clean = clean.join(mixed, "digest", "left_anti").select(*KEYS, "term", "n").unionByName(again)
