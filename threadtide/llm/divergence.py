@@ -5,9 +5,9 @@ terms, never the terms:
 
 1. documents per (lang, digest), summed in the tasks first; digests in enough documents are kept. A digest that
    two terms share counts at least the documents of either, so no term is lost here.
-2. A bitmap of the kept digests, ``MOST_BITS`` bits at most, goes to the tasks of a second pass over the texts. It
-   counts occurrences per (lang, source, digest) and gives the smallest and the largest term of each digest; what
-   the bitmap lets through by chance falls in the join with the kept digests.
+2. A bitmap of the kept digests, ``MOST_BITS`` bits at most, goes to the tasks of two more passes over the texts:
+   one counts occurrences per (lang, source, digest), one gives the smallest and the largest term of each digest,
+   each term once a task. What the bitmap lets through by chance falls in the joins with the kept digests.
 3. Where smallest and largest differ, terms share a digest: these few are counted again by their text and judged
    each for itself.
 4. All sums, shares and ranks are of digests; text is joined to the rows that can be among the best only.
@@ -36,7 +36,7 @@ from threadtide.session import cut_lineage
 
 LEAST_DOCS, SMOOTHING, SCALE_STEPS, TOP = 30, 5, 3, 50  # shares are in units of 1000 ** -SCALE_STEPS
 BLOCK_BYTES, BLOCK_ROWS, LEAST_BLOCKS, TILE = 1 << 22, 1 << 15, 32, 1 << 20
-LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
+LEAST_BITS, MOST_BITS, TERMS_HELD = 1 << 16, 1 << 27, 1 << 20
 TERM = np.full(256, 32, np.uint8)  # every other byte parts terms
 TERM[97:123], TERM[65:91], TERM[128:] = np.arange(97, 123), np.arange(97, 123), np.arange(128, 256)
 KEYS = ["lang", "source", "digest"]
@@ -108,12 +108,11 @@ def _among(digest: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 
 def group_counts(docs: DataFrame, some: np.ndarray, bits: int, split: bool) -> DataFrame:
-    """Counts of the terms whose digest ``some`` lets through: ``lang``, ``source``, ``digest``, ``low``, ``high``,
-    ``n``, ``docs``. Without ``split`` terms are counted by digest, and rows with NULL lang hold a digest's smallest
-    and largest term; with it by ``term``, a column more."""
+    """Counts of the terms whose digest ``some`` lets through: ``lang``, ``source``, ``digest``, ``n``, ``docs``; with
+    ``split`` by term as well as by digest, in a column ``term`` more."""
+    names = [*KEYS, "n", "docs"] + ["term"] * split
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["lang", "source", "digest", "term", "n", "docs"]
         for batch in batches:
             of, groups = _codes(batch.column(0), batch.column(1))
             langs, sources = (pa.array(groups[i], pa.string()) for i in (0, 1))
@@ -123,23 +122,50 @@ def group_counts(docs: DataFrame, some: np.ndarray, bits: int, split: bool) -> D
                 if not len(hit):
                     continue
                 row, digest = block.row_of_words()[hit], digest[hit]
+                value, text = digest, None
+                if split:
+                    texts = block.words(hit).dictionary_encode()
+                    value, text = texts.indices.to_numpy(), texts.dictionary.cast(pa.string())
+                    digest = digest[np.unique(value, return_index=True)[1]]
+                code, value, n, docs = _tally(of[low:high].astype(np.int32)[row], value, row)
+                columns = [langs.take(pa.array(code)), sources.take(pa.array(code)),
+                           pa.array(digest[value] if split else value), pa.array(n), pa.array(docs)]
+                if split:
+                    columns.append(text.take(pa.array(value)))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    kinds = {"digest": "long", "n": "long", "docs": "long"}
+    parts = docs.select("lang", "source", "text").mapInArrow(run, ", ".join(f"{n} {kinds.get(n, 'string')}" for n in names))
+    return parts.groupBy(*KEYS, *["term"] * split).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
+def digest_texts(docs: DataFrame, some: np.ndarray, bits: int) -> DataFrame:
+    """``digest``, ``low``, ``high``: the smallest and the largest term of every digest that ``some`` lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digests, terms, rows = [], [], 0  # of this task, each term once when they are handed on
+
+        def handed() -> Iterator[pa.RecordBatch]:
+            texts = pa.concat_arrays(terms).dictionary_encode()
+            first = np.unique(texts.indices.to_numpy(), return_index=True)[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(digests)[first]), texts.dictionary.cast(pa.string())], names=["digest", "term"])
+
+        for batch in batches:
+            for _, _, block in tn.blocks(batch.column(0), BLOCK_BYTES, TERM):
+                digest = _digests(block, bits)
+                hit = np.flatnonzero(_among(digest, some))
                 texts = block.words(hit).dictionary_encode()
-                at, text = texts.indices.to_numpy(), texts.dictionary.cast(pa.string())
-                first = np.unique(at, return_index=True)[1]
-                code, value, n, docs = _tally(of[low:high].astype(np.int32)[row], at if split else digest, row)
-                yield pa.RecordBatch.from_arrays([
-                    langs.take(pa.array(code)), sources.take(pa.array(code)),
-                    pa.array(digest[first][value] if split else value),
-                    text.take(pa.array(value)) if split else pa.nulls(len(code), pa.string()),
-                    pa.array(n), pa.array(docs)], names=names)
-                if not split:
-                    none, zero = pa.nulls(len(text), pa.string()), pa.array(np.zeros(len(text), np.int64))
-                    yield pa.RecordBatch.from_arrays([none, none, pa.array(digest[first]), text, zero, zero], names=names)
-
-    parts = docs.select("lang", "source", "text").mapInArrow(
-        run, "lang string, source string, digest long, term string, n long, docs long")
-    return parts.groupBy(*KEYS, *["term"] * split).agg(
-        F.min("term").alias("low"), F.max("term").alias("high"), F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+                digests.append(digest[hit][np.unique(texts.indices.to_numpy(), return_index=True)[1]])
+                terms.append(texts.dictionary)
+                rows += len(texts.dictionary)
+                if rows > TERMS_HELD:
+                    yield from handed()
+                    digests, terms, rows = [], [], 0
+        if rows:
+            yield from handed()
+
+    parts = docs.select("text").mapInArrow(run, "digest long, term string")
+    return parts.groupBy("digest").agg(F.min("term").alias("low"), F.max("term").alias("high"))
 
 
 def kept_counts(docs: DataFrame, least_docs: int = LEAST_DOCS, bits: int = 64) -> tuple[DataFrame, DataFrame]:
@@ -147,10 +173,11 @@ def kept_counts(docs: DataFrame, least_docs: int = LEAST_DOCS, bits: int = 64) -
     ``text``. ``term`` is NULL but for the terms that share a digest with another one."""
     docs = _read(docs)
     known = cut_lineage(document_counts(docs, bits).where(F.col("docs") >= least_docs).select("lang", "digest"))
-    counted = cut_lineage(group_counts(docs, bitmap(known), bits, split=False))
-    texts = counted.where("lang IS NULL").select("digest", "low", "high").join(known.select("digest").distinct(), "digest")
+    some = bitmap(known)
+    texts = cut_lineage(digest_texts(docs, some, bits).join(known.select("digest").distinct(), "digest"))
     mixed = cut_lineage(texts.where("low <> high").select("digest"))
-    clean = counted.where("lang IS NOT NULL").join(known, ["lang", "digest"]).select(*KEYS, F.lit(None).cast("string").alias("term"), "n")
+    clean = group_counts(docs, some, bits, split=False).join(known, ["lang", "digest"]).select(
+        *KEYS, F.lit(None).cast("string").alias("term"), "n")
     if not mixed.isEmpty():
         by_term = cut_lineage(group_counts(docs, bitmap(mixed), bits, split=True).join(mixed, "digest").select(*KEYS, "term", "n", "docs"))
         enough = by_term.groupBy("lang", "digest", "term").agg(F.sum("docs").alias("all")).where(F.col("all") >= least_docs)

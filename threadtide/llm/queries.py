@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadtide.llm import decontam, divergence, langid, lines, mixing, quality, quotes, sharding, simhash, substring, tokens
+from threadtide.llm import decontam, divergence, langid, lines, mixing, quality, quotes, sharding, simhash, spelling, substring, tokens
 from threadtide.llm.registry import documents, query
 
 
@@ -94,6 +94,32 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir))
 
 
+@query("op12_spelling_variants", """
+WITH RECURSIVE bits(i, k, c) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL
+  SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+d AS (SELECT coalesce(doc_id::VARCHAR, '') AS id,
+      unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+r AS (SELECT id, run, count(*) AS n FROM d GROUP BY ALL),
+b AS (SELECT run, n, list_concat([4294967295], flatten(list_transform(string_split(id || ':' || run, ''),
+      lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x)::BIGINT - 64] END))) AS bytes FROM r),
+h AS (SELECT run, n, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM b, crc),
+u AS (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM u WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+x AS (SELECT DISTINCT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM v, range(1, 100000) t(i) WHERE i <= length(word)),
+e AS (SELECT p.word, q.word AS near FROM x p JOIN x q ON p.rest = q.rest AND p.i = q.i AND p.word <> q.word
+      UNION SELECT x.word, v.word FROM x JOIN v ON x.rest = v.word UNION SELECT v.word, x.word FROM x JOIN v ON x.rest = v.word),
+f AS (SELECT e.word, count(*) AS n_near, arg_min({'near': near, 'n': v.n}, (-v.n, near)) AS best FROM e JOIN v ON v.word = e.near GROUP BY ALL),
+g AS (SELECT v.word, CASE WHEN best.n >= 2 * v.n THEN best.near END AS form, v.n, coalesce(n_near, 0)::BIGINT AS n_near,
+      CASE WHEN best.n >= 2 * v.n THEN best.n END AS form_n FROM v LEFT JOIN f USING (word)),
+w(word, root, depth) AS (SELECT word, word, 0 FROM g UNION ALL
+  SELECT w.word, g.form, depth + 1 FROM w JOIN g ON g.word = w.root WHERE g.form IS NOT NULL)
+SELECT g.word, form, o.root, n, n_near, form_n FROM g JOIN (SELECT word, arg_max(root, depth) AS root FROM w GROUP BY word) o USING (word)
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
