@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadtide.llm import decontam, divergence, langid, lines, mixing, quality, quotes, sharding, simhash, spelling, substring, tokens
+from threadtide.llm import additive, decontam, divergence, langid, lines, mixing, quality, quotes, sharding, simhash, spelling, substring, tokens
 from threadtide.llm.registry import documents, query
 
 
@@ -120,6 +120,11 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir))
 
 
+@query("op13_quality_additive")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
