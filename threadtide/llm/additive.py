@@ -99,8 +99,10 @@ def measures(block: tn.Block) -> np.ndarray:
     mean = _ratio(of_words(length), words)
     spread = np.sqrt(np.maximum(_ratio(of_words(length * length), words) - mean**2, 0))
 
-    same = np.zeros(len(data), bool)
-    same[2:] = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & ~tn.IS_SPACE[data[2:]]
+    same = np.zeros(len(data) + 2, bool)
+    same[2:-2] = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & ~tn.IS_SPACE[data[2:]]
+    same[block.offsets] = same[block.offsets + 1] = False  # what stands before a row is another row's
+    same = same[: len(data)]
 
     salt = tn.mixed(np.arange(1, n + 1, dtype=np.uint64))
     hashes = block.word_hashes()
@@ -123,7 +125,9 @@ def measures(block: tn.Block) -> np.ndarray:
 
     symbols, digits = SYMBOL[data], DIGIT[data]
     link = np.zeros(len(data), bool)
-    link[:-2] = (data[:-2] == 58) & (data[1:-1] == 47) & (data[2:] == 47)
+    link[2:] = (data[:-2] == 58) & (data[1:-1] == 47) & (data[2:] == 47)
+    link[block.offsets[:-1][block.offsets[:-1] < len(data)]] = False
+    link[block.offsets[:-1][block.offsets[:-1] + 1 < len(data)] + 1] = False
     caps = (by_word(upper) >= 2) & (by_word(lower) == 0)
     columns = [
         np.log1p(words), np.log1p(lines), np.log1p(_ratio(words, lines)), np.log1p(_ratio(words, by_row(STOP[data]))),
