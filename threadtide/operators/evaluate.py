@@ -61,10 +61,10 @@ def _ratio(a: Column, b: Column) -> Column:
 
 
 def binary_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
-    """M8: accuracy, precision, recall, F1 and error rate."""
+    """M8: accuracy, precision, recall, F1 and error rate; without rows accuracy and error rate are NULL."""
     row = df.agg(*[c.alias(k) for k, c in _cells(y, p).items()])
     tp, fp, fn, tn = (F.col(k) for k in ("tp", "fp", "fn", "tn"))
-    accuracy = (tp + tn) / (tp + tn + fp + fn)
+    accuracy = F.try_divide(tp + tn, tp + tn + fp + fn)
     return row.select(
         accuracy.alias("accuracy"),
         _ratio(tp, tp + fp).alias("precision"),
@@ -113,11 +113,11 @@ def class_report(df: DataFrame, y: str, p: str) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
-    """Area under the ROC curve, U / (n1 n0)."""
+    """Area under the ROC curve, U / (n1 n0); NULL where a class is absent."""
     t = rank_statistics(df, score, F.col(y) == 1)
     return t.select(
         F.col("n1").alias("positives"), F.col("n0").alias("negatives"),
-        (F.col("u") / (F.col("n1").cast("double") * F.col("n0"))).alias("auc"),
+        F.try_divide("u", F.col("n1").cast("double") * F.col("n0")).alias("auc"),
     )
 
 

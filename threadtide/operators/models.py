@@ -2,22 +2,71 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from itertools import product
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import Bucketizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadtide.operators import evaluate, users
 from threadtide.operators.ranks import global_row_number
 from threadtide.operators.sampling import hash_key, stratified_split
 from threadtide.operators.stats import rank_statistics
+from threadtide.session import cut_lineage
+
+#: Fits that run side by side; each is many short jobs, so a few of them fill what one leaves idle.
+FITS = 6
+#: Rows of one partition of a table that a fit scans again and again.
+FIT_ROWS = 50_000
+Made = TypeVar("Made")
+
+
+# ------------------------------------------------------------------------------- fits side by side
+
+def side_by_side(spark: SparkSession, jobs: Sequence[Callable[[], Made]], workers: int = FITS) -> list[Made]:
+    """The results of independent driver jobs, ``workers`` at a time, each in a scheduler pool of its own: under the
+    FAIR scheduler they share the cluster evenly, under FIFO they still fill each other's gaps. The first error is raised
+    after the running jobs have ended."""
+    def named(i: int, job: Callable[[], Made]) -> Made:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{i % workers}")
+        return job()
+
+    with ThreadPoolExecutor(min(workers, max(1, len(jobs)))) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(named), i, job) for i, job in enumerate(jobs)]
+        return [r.result() for r in running]
+
+
+@contextmanager
+def held(df: DataFrame) -> Iterator[DataFrame]:
+    """A table kept in memory while fits scan it, in as few partitions as its rows need, and released at the end."""
+    rows = df.persist()
+    try:
+        parts = -(-rows.count() // FIT_ROWS)
+        yield rows.coalesce(max(1, parts))
+    finally:
+        rows.unpersist()
+
+
+def quantised(df: DataFrame, features: Sequence[str], bins: int = 32) -> DataFrame:
+    """The features as bin numbers, cut at the quantiles of all rows in one pass. Trees cut at such borders
+    anyway; done once, every fit on the table finds at most ``bins`` values and skips the search."""
+    grid = ", ".join(f"{i / bins}D" for i in range(1, bins))
+    row = df.agg(*[F.expr(f"percentile_approx(`{f}`, array({grid}), {100 * bins})").alias(f) for f in features]).first()
+    borders = [[-float("inf"), *sorted({float(v) for v in row[f] or []}), float("inf")] for f in features]
+    cut = Bucketizer(splitsArray=borders, inputCols=list(features), outputCols=[f"_{f}" for f in features], handleInvalid="keep")
+    return cut.transform(df).select(
+        *[F.col(f"_{c}").alias(c) if c in set(features) else F.col(c) for c in df.columns])
 
 
 # ------------------------------------------------------------------------------- clustering
@@ -126,9 +175,10 @@ def train_classifier(df: DataFrame, features: Sequence[str], label: str, key: st
 
     Returns (model, threshold, metrics). The parts are disjoint by hash.
     """
-    parts = stratified_split(df, label, key, {"train": 0.6, "val": 0.2, "test": 0.2}).withColumn(
-        "_val", F.col("part") == "val").persist()
-    model = gbt_pipeline(features, label, rounds, depth, validation="_val").fit(parts.where("part <> 'test'"))
+    parts = cut_lineage(stratified_split(df, label, key, {"train": 0.6, "val": 0.2, "test": 0.2}).withColumn(
+        "_val", F.col("part") == "val"))
+    with held(parts.where("part <> 'test'")) as rows:
+        model = gbt_pipeline(features, label, rounds, depth, validation="_val").fit(rows)
     threshold = float(evaluate.best_threshold(with_score(model, parts.where("part = 'val'")), label, "score")
                       .first()["threshold"])
     metrics = test_metrics(with_score(model, parts.where("part = 'test'")), label, threshold)
@@ -137,29 +187,35 @@ def train_classifier(df: DataFrame, features: Sequence[str], label: str, key: st
 
 def better_of(df: DataFrame, features: Sequence[str], label: str, key: str, rounds: int = 100, trees: int = 100,
               depth: int = 6) -> DataFrame:
-    """M5: random forest against boosted trees on the same split; ``kept`` marks the better accuracy."""
-    parts = stratified_split(df, label, key, {"train": 0.8, "test": 0.2}).persist()
-    train, test = parts.where("part = 'train'"), parts.where("part = 'test'")
-    out = None
-    for name, pipe in (("gbt", gbt_pipeline(features, label, rounds, depth)),
-                       ("forest", forest_pipeline(features, label, trees, depth))):
-        one = test_metrics(with_score(pipe.fit(train), test), label).withColumn("model", F.lit(name))
-        out = one if out is None else out.unionByName(one)
+    """M5: random forest against boosted trees on the same split, fitted side by side; ``kept`` marks the better accuracy."""
+    parts = cut_lineage(stratified_split(df, label, key, {"train": 0.8, "test": 0.2}))
+    pipes = {"gbt": gbt_pipeline(features, label, rounds, depth), "forest": forest_pipeline(features, label, trees, depth)}
+    with held(parts.where("part = 'train'")) as train:
+        def one(name: str) -> DataFrame:
+            scored = with_score(pipes[name].fit(train), parts.where("part = 'test'"))
+            return cut_lineage(test_metrics(scored, label).withColumn("model", F.lit(name)))
+
+        made = side_by_side(df.sparkSession, [lambda n=n: one(n) for n in pipes])
+    out = made[0].unionByName(made[1])
     best = out.agg(F.max_by("model", F.struct("accuracy", "model"))).scalar()
     return out.withColumn("kept", F.col("model") == best)
 
 
 def cross_validated(df: DataFrame, features: Sequence[str], label: str, key: str, folds: int = 5,
                     rounds: int = 100, depth: int = 6) -> DataFrame:
-    """M6: mean and population deviation of the accuracy over hash folds."""
+    """M6: mean and population deviation of the accuracy over hash folds, fitted side by side on one table."""
     lead = F.conv(F.substring(hash_key(key), 1, 8), 16, 10).cast("bigint")
-    rows = df.withColumn("_fold", F.pmod(lead, F.lit(folds))).persist()
-    out = None
-    for i in range(folds):
-        model = gbt_pipeline(features, label, rounds, depth).fit(rows.where(F.col("_fold") != i))
+    rows = cut_lineage(df.withColumn("_fold", F.pmod(lead, F.lit(folds))))
+
+    def one(i: int) -> DataFrame:
+        with held(rows.where(F.col("_fold") != i)) as train:
+            model = gbt_pipeline(features, label, rounds, depth).fit(train)
         pred = evaluate.predicted(with_score(model, rows.where(F.col("_fold") == i)), "score", 0.5)
-        one = evaluate.binary_metrics(pred, label, "predicted").select("accuracy")
-        out = one if out is None else out.unionByName(one)
+        return cut_lineage(evaluate.binary_metrics(pred, label, "predicted").select("accuracy"))
+
+    out = None
+    for made in side_by_side(df.sparkSession, [lambda i=i: one(i) for i in range(folds)]):
+        out = made if out is None else out.unionByName(made)
     return out.agg(F.avg("accuracy").alias("cv_mean"), F.stddev_pop("accuracy").alias("cv_std"),
                    F.count("*").alias("folds"))
 
@@ -168,7 +224,7 @@ def confidence_regression(df: DataFrame, vector: str, target: str, key: str) ->
     """Linear regression of a confidence on a vector; error metrics and metrics at 0.5 on the test part."""
     rows = df.withColumn("features", array_to_vector(F.transform(vector, lambda x: x.cast("double")))).withColumn(
         "_one", F.lit(1))
-    parts = stratified_split(rows, "_one", key, {"train": 0.8, "test": 0.2}).persist()
+    parts = cut_lineage(stratified_split(rows, "_one", key, {"train": 0.8, "test": 0.2}))
     model = LinearRegression(labelCol=target, featuresCol="features").fit(parts.where("part = 'train'"))
     out = model.transform(parts.where("part = 'test'")).select(
         F.col(target).alias("actual"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prediction"))).alias("score"))
@@ -211,30 +267,45 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
         "feature", "auc_drop", "r", F.when(F.col("r") >= 0, "raises").otherwise("lowers").alias("direction"))
 
 
-def user_level_training(df: DataFrame, features: Sequence[str], pairs, min_comments: Sequence[int],
-                        thresholds: Sequence[float], rounds: int = 100, depth: int = 6) -> DataFrame:
-    """For every cell of the grid, user features, voted labels, a model and its test metrics.
-
-    The user tables of all thresholds come from one pass over the comments; a cell is a filter on them.
-    """
+def user_table(df: DataFrame, features: Sequence[str], pairs, thresholds: Sequence[float], bins: int = 32) -> tuple[DataFrame, list[str]]:
+    """The users of every threshold from one pass over the comments, with quantised features and the voted label
+    ``y``, written once for all fits; and the names of the features."""
     rows = users.grid_rows(df, thresholds)
     table = users.user_means(rows, features, by=["threshold"]).join(
         users.weighted_votes(rows, pairs, by=["threshold"]), ["threshold", "commenter_id"]).withColumn(
-        "y", F.col("label_weighted").cast("int")).persist()
+        "y", F.col("label_weighted").cast("int"))
     names = [f"avg_{f}" for f in features] + ["num_comments"]
-    out = None
-    for m in min_comments:
-        for t in thresholds:
-            cell = table.where((F.col("threshold") == t) & (F.col("num_comments") >= m))
-            split = stratified_split(cell, "y", "commenter_id", {"train": 0.8, "test": 0.2})
-            if split.where("part = 'train'").select("y").distinct().count() < 2:
-                continue  # a class is missing, as the reference skips empty cells
-            model = gbt_pipeline(names, "y", rounds, depth).fit(split.where("part = 'train'"))
-            one = test_metrics(with_score(model, split.where("part = 'test'")), "y").withColumns(
-                {"min_comments": F.lit(m), "threshold": F.lit(float(t))})
-            out = one if out is None else out.unionByName(one)
-    if out is None:
+    kept = cut_lineage(table.select("threshold", "commenter_id", "y", F.col("num_comments").alias("_n"), *names))
+    return cut_lineage(quantised(kept, names, bins)), names
+
+
+def user_level_training(df: DataFrame, features: Sequence[str], pairs, min_comments: Sequence[int],
+                        thresholds: Sequence[float], rounds: int = 100, depth: int = 6) -> DataFrame:
+    """For every cell of the grid a model of the users' voted label and its test metrics.
+
+    A cell is a filter on one prepared table; cells are fitted side by side. Cells without both classes in their training
+    part are left out.
+    """
+    table, names = user_table(df, features, pairs, thresholds)
+
+    def one(m: int, t: float) -> DataFrame | None:
+        cell = table.where((F.col("threshold") == t) & (F.col("_n") >= m))
+        split = cut_lineage(stratified_split(cell, "y", "commenter_id", {"train": 0.8, "test": 0.2}))
+        train = split.where("part = 'train'")
+        if train.agg(F.countDistinct("y")).first()[0] < 2:
+            return None
+        with held(train) as rows:
+            model = gbt_pipeline(names, "y", rounds, depth).fit(rows)
+        return cut_lineage(test_metrics(with_score(model, split.where("part = 'test'")), "y").withColumns(
+            {"min_comments": F.lit(m), "threshold": F.lit(float(t))}))
+
+    cells = [lambda m=m, t=t: one(m, t) for m, t in product(min_comments, thresholds)]
+    made = [x for x in side_by_side(df.sparkSession, cells) if x is not None]
+    if not made:
         raise ValueError("no cell of the grid holds both classes")
+    out = made[0]
+    for x in made[1:]:
+        out = out.unionByName(x)
     return out
 
 
