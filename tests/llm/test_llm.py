@@ -179,7 +179,7 @@ def fingerprint(text, k=4):
 
 
 @pytest.mark.parametrize("light", [512, 2])
-def test_simhash(docs, rows, empty, light, monkeypatch):
+def test_simhash(docs, rows, empty, light):
     fps = [fingerprint(r[1]) for r in rows]
     group = list(range(len(rows)))
     for i in range(len(rows)):
@@ -189,22 +189,32 @@ def test_simhash(docs, rows, empty, light, monkeypatch):
                 group = [new if g == old else g for g in group]
     ids = {g: min((r[0] for r, h in zip(rows, group) if h == g and r[0] is not None), default=None) for g in set(group)}
     want = Counter((r[0], f"{f:016x}", ids[g]) for r, f, g in zip(rows, fps, group))
-    got = Counter(map(tuple, simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id").collect()))
+    got = Counter(map(tuple, simhash.near_duplicates(docs, light=light).select("doc_id", "fingerprint", "component_id").collect()))
     assert got == want
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_heavy_keys_link_the_same(spark, monkeypatch):
-    rnd, base = random.Random(3), 0x0123456789ABCDEF
-    fps = {base} | {base ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(1, 4))) for _ in range(60)}
+def test_heavy_keys_link_the_same(spark):
+    """Fingerprints of one upper half, around several centres: more than a key's light number of entries."""
+    rnd, top = random.Random(3), 0x01234567 << 32
+    centres = [top | rnd.getrandbits(32) for _ in range(12)]
+    near = lambda c: c ^ sum(1 << b for b in rnd.sample(range(32), rnd.randint(0, 4)))
+    fps = sorted({near(c) for c in centres for _ in range(60)} | {0xF << 60 | rnd.getrandbits(32) for _ in range(40)})
+    group = list(range(len(fps)))
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 4 and group[i] != group[j]:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
     signed = [(x - (1 << 64) if x >> 63 else x,) for x in fps]
-    table = spark.createDataFrame(signed, "fp long").coalesce(1)
-    found = []
-    for light in (512, 1):
-        monkeypatch.setattr(simhash, "LIGHT", light)
+    table = spark.createDataFrame(signed, "fp long").repartition(3)
+    for light in (4096, 512, 20, 1):
         values = table.select(F.col("fp").alias("node"), F.col("fp").alias("value"))
-        found.append(components.components(simhash.links(table), values).select("value").distinct().count())
-    assert found == [1, 1]
+        placed = {r["node"]: r["value"] for r in components.components(simhash.links(table, light), values).collect()}
+        found = {}
+        for (x,), g in zip(signed, group):
+            found.setdefault(g, set()).add(placed.get(x, x))
+        assert all(len(v) == 1 for v in found.values()) and len({v for x in found.values() for v in x}) == len(set(group)), light
 
 
 def test_components_of_a_long_path(spark):
@@ -337,25 +347,29 @@ def test_near_duplicates_of_the_pipeline(spark):
     rnd = random.Random(11)
     prose = lambda n: [f"w{rnd.randrange(5000)}" for _ in range(n)]
     texts = []
-    for _ in range(40):
+    for _ in range(25):
         base = prose(rnd.randint(60, 300))
         texts.append(base)
         for _ in range(3):
             near = list(base)
-            for at in rnd.sample(range(len(near)), rnd.randint(0, len(near) // 30)):
+            for at in rnd.sample(range(len(near)), rnd.randint(0, len(near) // 60)):
                 near[at] = "changed"
             texts.append(near)
     texts = [" ".join(t) for t in texts] + ["short text", "Short  TEXT", "other text", "", None]
     rows = [(i // 2 if i % 9 else None, t, "en", "a", "r", 1, i) for i, t in enumerate(texts)]
-    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := words((t or "").lower())) else frozenset() for t in texts]
+    fps = [fingerprint(r[1]) for r in rows]
     group = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            if (fps[i] ^ fps[j]).bit_count() <= 4:
                 group = [group[j] if g == group[i] else g for g in group]
-    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA).repartition(4), "").collect()
+    assert len(set(group)) < 0.7 * len(rows)
+    docs = spark.createDataFrame(rows + rows[:9] + rows[-1:] * 3, SCHEMA)  # equal rows are one
+    kept = corpus_pipeline.near_duplicates(spark, docs.repartition(4), "").collect()
     assert sorted(group[r["fp"]] for r in kept) == sorted(set(group))  # one row of each group
     least = {}
     for g, r in zip(group, rows):
         least[g] = min(least.get(g, (True, 0)), (r[0] is None, r[0] or 0))
     assert all(least[group[r["fp"]]] == (r["doc_id"] is None, r["doc_id"] or 0) for r in kept)
+    assert sorted(map(repr, kept)) == sorted(map(repr, corpus_pipeline.near_duplicates(spark, docs.repartition(7), "").collect()))
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0

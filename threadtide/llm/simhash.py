@@ -12,7 +12,8 @@ together, with work in proportion to the entries.
 
 Edge cases: a NULL or empty text has fingerprint zero, linked like any other; fewer words than a shingle make
 one shingle; repeated rows share fingerprint and component; a NULL doc_id is no candidate for a component's
-id; other columns are ignored; an empty table gives no rows.
+id; other columns are ignored; an empty table gives no rows. ``first_of_groups`` treats rows with a NULL or shared
+doc_id as rows of their own and keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -86,7 +87,7 @@ def popcount(x: np.ndarray) -> np.ndarray:
 
 
 def _roots(fp: np.ndarray) -> np.ndarray:
-    """For each of at most ``LIGHT`` fingerprints the first one that links reach."""
+    """For each fingerprint under a light key the first one that links reach."""
     near = popcount(fp[:, None] ^ fp[None, :]) <= BITS
     root = np.arange(len(fp))
     while True:
@@ -97,10 +98,10 @@ def _roots(fp: np.ndarray) -> np.ndarray:
         root = low
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _met(batches: Iterator[pa.RecordBatch], light: int) -> Iterator[pa.RecordBatch]:
     """From rows sorted by key: links under light keys, a spanning tree of each linked set and not its pairs; and
     with b NULL the entries of heavy keys.
-    At most ``LIGHT`` rows of a key are carried from batch to batch."""
+    At most ``light`` rows of a key are carried from batch to batch."""
     key, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
     heavy_key = None
 
@@ -111,13 +112,13 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def settled(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         length = np.diff(np.concatenate([begin, [len(key)]]))
-        many = np.repeat(length > LIGHT, length)
+        many = np.repeat(length > light, length)
         if many.any():
             yield out(fp[many], None)
         two = begin[length == 2]
         two = two[popcount(fp[two] ^ fp[two + 1]) <= BITS]
         found = [(fp[two], fp[two + 1])]
-        for at, n in zip(*(x[(length > 2) & (length <= LIGHT)].tolist() for x in (begin, length))):
+        for at, n in zip(*(x[(length > 2) & (length <= light)].tolist() for x in (begin, length))):
             own = fp[at : at + n]
             root = _roots(own)
             below = np.flatnonzero(root != np.arange(n))
@@ -140,7 +141,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             heavy_key = None
         tail = int(np.searchsorted(key, key[-1], "left"))
-        if len(key) - tail > LIGHT:
+        if len(key) - tail > light:
             heavy_key = key[-1]
             yield out(fp[tail:], None)
             key, fp, rest_key, rest_fp = key[:tail], fp[:tail], key[:0], fp[:0]
@@ -162,13 +163,17 @@ def _around(half: Column, ball: Column) -> Column:
     return F.transform(ball, lambda m: half.bitwiseXOR(m))
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, light: int = LIGHT) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of distinct ``fp`` within ``BITS`` bits."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _met(batches, light)
+
     ball = F.array(*[F.lit(m).cast("bigint") for m in _masks(32, 1)])
     halves = [F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(1 << 32))]
     keys = F.concat(*[_around(h, ball) for h in halves])
     filed = fps.select("fp", F.explode(keys).alias("key")).select("key", "fp")
-    met = cut_lineage(filed.repartition("key").sortWithinPartitions("key").mapInArrow(_met, "a long, b long"))
+    met = cut_lineage(filed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long"))
     pairs = met.where("b IS NOT NULL").distinct()
     wide = np.array(_masks(64, 2), np.uint64).view(np.int64)
 
@@ -185,11 +190,11 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.unionByName(stars)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, light: int = LIGHT) -> DataFrame:
     """Every document with its fingerprint (16 hex digits) and the smallest doc_id that links reach."""
     prints = cut_lineage(fingerprints(docs, shingle))
     fps = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    edges = cut_lineage(links(fps.select("fp")))
+    edges = cut_lineage(links(fps.select("fp"), light))
     found = components(edges, fps.select(F.col("fp").alias("node"), F.col("first_id").alias("value")))
     placed = fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", F.coalesce("value", "first_id").alias("component_id")
@@ -197,3 +202,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return prints.join(placed, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def first_of_groups(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` with one row of each group of near duplicates: the one with the smallest doc_id, NULL
+    last; among rows with that doc_id the one whose columns hash lowest, and of equal rows one. Groups are found on keys of rows
+    (doc_id and 128 bits of all columns), which stand for doc_id in ``near_duplicates``; equal rows fold in the tasks before
+    any text is shuffled."""
+    columns = [docs[c] for c in docs.columns]
+    kind = docs.schema["doc_id"].dataType
+    key = F.struct(
+        docs["doc_id"].isNull().alias("none"), F.coalesce(docs["doc_id"], F.lit(0).cast(kind)).alias("id"),
+        F.xxhash64(*columns).alias("h"), F.xxhash64(F.lit(1), *columns).alias("more"))
+    groups = near_duplicates(docs.select(key.alias("doc_id"), docs["text"].alias("text")))
+    firsts = groups.where("doc_id = component_id").select("doc_id.*").distinct()
+    rows = docs.select(key.alias("key"), F.struct(*columns).alias("row")).select("key.*", "row").dropDuplicates(firsts.columns)
+    return rows.join(firsts, firsts.columns, "left_semi").select("row.*")
