@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadtide.llm import decontam, langid, mixing, similar, tokens
+from threadtide.llm import decontam, langid, mixing, simhash, tokens
 from threadtide.session import cut_lineage
 
 #: A document is rejected when no language is found or the calibrated probability of the best is lower.
@@ -28,8 +28,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of near duplicates (five-word similarity of 0.8 or more), with the smallest id."""
-    return similar.first_of_groups(docs)
+    """Keeps one row of each group of near duplicates by SimHash, with the smallest id."""
+    return simhash.first_of_groups(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
