@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from threadtide.functions import clean as cl
 from threadtide.functions import lookups as lk
+from threadtide.operators.skew import join_hot
+from threadtide.session import cut_lineage
 
 # Readings of the digits 0 and 1, tried in this order; 3, 6 and 9 are always e, g and g.
 LEET_READINGS = [("o", "i"), ("u", "i"), ("o", "one"), ("u", "one"), ("no", "i"), ("no", "one")]
@@ -65,26 +67,26 @@ def _apply(df: DataFrame, name: str, groups: list[list[cl.Step]]) -> DataFrame:
 
 def _finish(df: DataFrame, key: str, text: str, groups: list[list[cl.Step]], words: DataFrame,
             last: Callable[[Column], Column], out: str) -> DataFrame:
-    """Run the steps, repair digit words through the word list, then the last token part."""
-    tokens = cl.ascii_tokens(cl.split_words(F.col("_t")))
-    has_digit = lambda w: w.rlike(r"\d")
-
-    def tokenised(rows: DataFrame) -> DataFrame:
-        return _apply(rows, "_t", groups).withColumn("_t", tokens)
+    """Run the steps once, repair digit words through the word list, then the last token part.
 
-    # Only texts with a digit can hold digit words; the others never enter this branch.
-    numbered = tokenised(df.where(F.col(text).rlike(r"\p{N}")).withColumn("_t", F.col(text)))
-    held = numbered.select(key, F.explode(F.array_distinct(F.filter("_t", has_digit))).alias("token"))
-    repaired = repair_digit_words(held, words)
-    fixes = held.join(repaired, "token").groupBy(key).agg(
+    The tokens are a written stage. Texts with a digit word are joined to their repairs; the others, mostly the most, are not
+    shuffled. A token that many texts share is looked up in several places.
+    """
+    has_digit = lambda w: w.rlike(r"\d")
+    tokens = cl.ascii_tokens(cl.split_words(F.col("_t")))
+    split = _apply(df.withColumn("_t", F.col(text)), "_t", groups).withColumn("_t", tokens)
+    whole = cut_lineage(split.withColumn("_own", F.array_distinct(F.filter("_t", has_digit))))
+    held = whole.where(F.size("_own") > 0).select(key, F.explode("_own").alias("token"))
+    fixes = join_hot(held, repair_digit_words(held, words), ["token"]).groupBy(key).agg(
         F.map_from_entries(F.collect_list(F.struct("token", "repaired"))).alias("_fix")  # one text's own tokens
     )
-    whole = tokenised(df.withColumn("_t", F.col(text))).join(fixes, key, "left")
     read = F.flatten(F.transform("_t", lambda w: F.when(
         has_digit(w), F.split(F.coalesce(F.element_at(F.col("_fix"), w), F.lit("")), " ")
     ).otherwise(F.array(w))))
-    kept = F.filter(read, lambda w: w != "")
-    return whole.withColumn("_t", kept).withColumn(out, cl.tidy(cl.joined(last(F.col("_t"))))).drop("_t", "_fix")
+    mended = whole.where(F.size("_own") > 0).join(fixes, key, "left").withColumn("_t", read).drop("_fix")
+    both = mended.unionByName(whole.where(F.size("_own") == 0))
+    kept = F.filter("_t", lambda w: w != "")
+    return both.withColumn("_t", kept).withColumn(out, cl.tidy(cl.joined(last(F.col("_t"))))).drop("_t", "_own")
 
 
 def clean_for_topics(df: DataFrame, key: str, text: str, author: str | None, words: DataFrame,
@@ -114,7 +116,7 @@ def resolve_links(df: DataFrame, key: str, text: str, links: DataFrame, out: str
     media = target.contains(cl.MEDIA_MARKS[0])
     for mark in cl.MEDIA_MARKS[1:]:
         media = media | target.contains(mark)
-    marks = held.join(links.select(F.col("link").alias("url"), "resolved_link"), "url", "left").groupBy(key).agg(
+    marks = join_hot(held, links.select(F.col("link").alias("url"), "resolved_link"), ["url"], "left").groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("pos", F.when(media, "media").otherwise("link").alias("mark")))).alias("_m")
     )
     pieces = F.split(F.col(text), r"https?://[^\s]+", -1)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadtide.operators.skew import join_hot
+
 
 def with_leaning(comments: DataFrame, posts: DataFrame, leaning: DataFrame) -> DataFrame:
     """Comments of posts whose author has a known leaning. Post numbers restart per author, so the
@@ -43,8 +45,9 @@ def roots_with_replies(df: DataFrame, aggregates: dict[str, Column]) -> DataFram
 
 
 def looked_up(df: DataFrame, key: str, mapping: DataFrame, map_key: str, map_value: str, name: str) -> DataFrame:
-    """Value of a mapping table, or the key itself where the table has none."""
+    """Value of a mapping table, or the key itself where the table has none. A key that many rows share is looked
+    up in several places."""
     pairs = mapping.select(F.col(map_key).alias("_k"), F.col(map_value).alias("_v"))
-    return df.join(pairs, F.col(key) == F.col("_k"), "left").withColumn(
+    return join_hot(df.withColumn("_k", F.col(key)), pairs, ["_k"], "left").withColumn(
         name, F.coalesce("_v", F.col(key))
     ).drop("_k", "_v")

@@ -16,15 +16,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from threadtide.operators.skew import join_hot
 from threadtide.session import cut_lineage
 
-MIN_BUCKETS, MAX_BUCKETS = 32, 4096
+MIN_BUCKETS = 32
 
 
 def bucket_count(spark: SparkSession) -> int:
     """Buckets of the value axis: a few per shuffle partition, so the work spreads over the cluster."""
     wanted = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(MIN_BUCKETS, min(MAX_BUCKETS, wanted))
+    return max(MIN_BUCKETS, wanted)
 
 
 def _with_bucket(df: DataFrame, value: str, cuts: Column, buckets: int) -> DataFrame:
@@ -93,11 +94,12 @@ def mid_rank() -> Column:
 
 
 def with_mid_ranks(df: DataFrame, value: str, name: str, by: Sequence[str] = ()) -> DataFrame:
-    """Every row with the average rank of its value; the value table is joined back on."""
+    """Every row with the average rank of its value; the value table is joined back on, a value that many rows
+    share in several places."""
     by = list(by)
     ranks = ordered_counts(df, value, by).select(*by, F.col(value).alias("_v"), mid_rank().alias(name))
     keyed = df.withColumn("_v", F.col(value).cast("double"))
-    return keyed.join(ranks, [*by, "_v"]).drop("_v")
+    return join_hot(keyed, ranks, [*by, "_v"]).drop("_v")
 
 
 def exact_quantiles(
@@ -138,9 +140,10 @@ def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "row_n
         F.sum("_rows").over(Window.partitionBy(F.lit(0))).alias("_all"),
     )
     within = F.col("_slot").bitwiseAND(F.lit((1 << 33) - 1))
+    # a row per partition of the numbered table
     return (
         pinned.withColumn("_part", part)
-        .join(offsets, "_part")
+        .join(F.broadcast(offsets), "_part")
         .withColumn(name, F.col("_offset") + within + 1)
         .withColumnRenamed("_all", f"{name}_total")
         .drop("_part", "_slot", "_offset")

@@ -25,15 +25,8 @@ PRIME = 2147483647
 BATCH = 512
 
 
-def draw(key: Column, rep: Column) -> Column:
-    """A number in [0, 1) from a row key and a replicate, by modular squaring."""
-    a = (key % PRIME * 48271 + rep * 69621 + 12345) % PRIME
-    b = (a * a + rep) % PRIME
-    return ((b * b + a) % PRIME) / F.lit(float(PRIME))
-
-
 def draws(keys: np.ndarray, reps: np.ndarray) -> np.ndarray:
-    """The same numbers as a matrix, rows by replicates."""
+    """Numbers in [0, 1) from row keys and replicates, by modular squaring: a matrix, rows by replicates."""
     k = (keys.astype(np.int64) % PRIME)[:, None]
     r = reps.astype(np.int64)[None, :]
     a = (k * 48271 + r * 69621 + 12345) % PRIME
@@ -55,14 +48,6 @@ def _poisson_cdf(mean: float = 1.0) -> list[float]:
 POISSON_CDF = _poisson_cdf()
 
 
-def poisson_one(u: Column) -> Column:
-    """Poisson(1) count of a uniform draw."""
-    out = F.when(u < POISSON_CDF[0], 0)
-    for k, edge in enumerate(POISSON_CDF[1:], 1):
-        out = out.when(u < edge, k)
-    return out.otherwise(len(POISSON_CDF))
-
-
 def poisson(u: np.ndarray, mean: np.ndarray) -> np.ndarray:
     """Poisson counts for one mean per row, by inversion."""
     m = mean[:, None]
@@ -82,17 +67,29 @@ def poisson(u: np.ndarray, mean: np.ndarray) -> np.ndarray:
 
 
 def bootstrap_mean_difference(df: DataFrame, value: str, label: str, key: str, replicates: int = 1000) -> DataFrame:
-    """Mean and 95% interval of the bot minus human mean over Poisson bootstrap replicates."""
-    small = spread(df.select(F.col(key).alias("k"), F.col(value).alias("v"), F.col(label).alias("l")))
-    rows = small.withColumn(
-        "rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn(
-        "w", poisson_one(draw(F.col("k"), F.col("rep").cast("bigint"))))
+    """Mean and 95% interval of the bot minus human mean over Poisson bootstrap replicates.
 
-    def mean(k: int) -> Column:
-        hit = F.col("l") == k
-        return F.sum(F.when(hit, F.col("w") * F.col("v"))) / F.sum(F.when(hit, F.col("w")))
+    A task keeps one sum and one count of weights per class and replicate, and hands on those; rows are not multiplied.
+    """
+    rows = spread(df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"), F.col(label).alias("l")))
+    reps = np.arange(1, replicates + 1)
 
-    per = rows.groupBy("rep").agg((mean(1) - mean(0)).alias("d"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((4, replicates))  # of weight and weight times value, human and bot
+        for part in batches:
+            part = part[part["l"].isin([0, 1]) & part["v"].notna()]
+            for low in range(0, len(part), BATCH):
+                some = part.iloc[low : low + BATCH]
+                w = poisson(draws(some["k"].to_numpy(), reps), np.ones(len(some))).astype(float)
+                v, bot = some["v"].to_numpy(dtype=float), some["l"].to_numpy() == 1
+                for k, x in enumerate((~bot, bot)):
+                    sums[2 * k] += w[x].sum(axis=0)
+                    sums[2 * k + 1] += v[x] @ w[x]
+        yield pd.DataFrame({"rep": reps, "w0": sums[0], "s0": sums[1], "w1": sums[2], "s1": sums[3]})
+
+    parts = rows.mapInPandas(run, "rep long, w0 double, s0 double, w1 double, s1 double")
+    sums = parts.groupBy("rep").agg(*[F.sum(c).alias(c) for c in ("w0", "s0", "w1", "s1")])
+    per = sums.select((F.try_divide("s1", "w1") - F.try_divide("s0", "w0")).alias("d"))
     return interval(per, "d").select("replicates", "mean", "low", "high", (F.col("low") > 0).alias("significant"))
 
 
@@ -194,8 +191,10 @@ def replicated_u(df: DataFrame, value: str, extra: Sequence[str], key: str, weig
 
 def weighted_u(df: DataFrame, value: str, label: str, weight: str, key: str, replicates: int = 1000) -> DataFrame:
     """U over Poisson resamples in which a row's rate is its share of its sample's weight."""
-    stats = df.groupBy(label).agg((F.count("*") / F.sum(weight)).alias("_rate"))  # one row per label
-    rated = df.join(stats, label).withColumn("_m", F.col("_rate") * F.col(weight))
+    one = F.col(label) == 1
+    rates = df.agg(*[(F.count_if(x) / F.sum(F.when(x, F.col(weight)))).alias(n) for n, x in (("one", one), ("zero", ~one))])
+    rate = F.when(one, rates.select("one").scalar()).otherwise(rates.select("zero").scalar())
+    rated = df.where(F.col(label).isNotNull()).withColumn("_m", rate * F.col(weight))
     reps = np.arange(1, replicates + 1)
 
     def weights(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:

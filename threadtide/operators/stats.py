@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from threadtide.functions import special
 from threadtide.operators.ranks import exact_quantiles, mid_rank, ordered_counts
+from threadtide.operators.skew import join_hot
 from threadtide.session import cut_lineage
 
 
@@ -173,10 +174,11 @@ def spearman_table(df: DataFrame, features: Sequence[str], target: str) -> DataF
         for f in features
     ]))
     long = df.select(pairs.alias("x")).select("x.*").where("a IS NOT NULL AND b IS NOT NULL")
-    folded = long.groupBy("feature", "a", "b").agg(F.count("*").alias("w"))
+    folded = cut_lineage(long.groupBy("feature", "a", "b").agg(F.count("*").alias("w")))
     rank_a = _weighted_ranks(folded, "a", "ra")
     rank_b = _weighted_ranks(folded, "b", "rb")
-    ranked = folded.join(rank_a, ["feature", "a"]).join(rank_b, ["feature", "b"])
+    # a value that meets many others is joined in several places
+    ranked = join_hot(join_hot(folded, rank_a, ["feature", "a"]), rank_b, ["feature", "b"])
     w, ra, rb = F.col("w").cast("double"), F.col("ra") - F.col("_c"), F.col("rb") - F.col("_c")
     moments = ranked.withColumn("_c", (F.col("_n") + 1) / 2).groupBy("feature").agg(
         F.sum("w").cast("bigint").alias("n"),
