@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from threadtide.llm import textnum as tn
 from threadtide.llm.components import components
+from threadtide.operators.skew import join_hot
 from threadtide.session import cut_lineage
 
 SHINGLE, SEED, BITS, LIGHT = 4, 42, 4, 512
@@ -199,7 +200,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, light: int = LIGHT)
     placed = fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", F.coalesce("value", "first_id").alias("component_id")
     )
-    return prints.join(placed, "fp").select(
+    return join_hot(prints, placed, ["fp"]).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
