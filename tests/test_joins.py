@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from threadtide.operators import labelling, matching, threads
 from threadtide.operators.sampling import keep_first
+from threadtide.session import cut_lineage
 from threadtide.sources import files
+from threadtide.sources.schemas import COUNTERS
 from threadtide.streaming import jobs
 
 
@@ -129,6 +131,23 @@ def test_four_hundred_levels_are_read(spark, tmp_path):
     posts, bad = files.read_threads(spark, str(tmp_path))
     assert bad.count() == 0
     assert [r["direct_replies"] for r in threads.direct_replies(posts).collect()] == [1]
+    got = {r["id"]: len(r["path"]) for r in threads.flatten_threads(posts).select("id", "path").collect()}
+    assert got == {str(i): i - 1 for i in range(1, 401)}
+
+
+def test_replies_of_every_shape(spark):
+    replies = json.dumps([
+        {"link": "2", "likes": 3, "views": None, "replies_content": [None, {"link": "3", "username": "w"}]},
+        None, {"replies_content": []}, {"link": "4", "content": "é \u0001", "replies_content": None}])
+    posts = spark.createDataFrame([("1", "u", "c", replies), ("9", None, None, None), ("8", "v", "", "[]")],
+                                  "link string, username string, content string, replies_content string")
+    posts = posts.selectExpr("*", *[f"cast(null as bigint) {c}" for c in COUNTERS])
+    got = sorted((r["id"], r["username"], r["content"], r["parent_id"], r["parent_username"], r["likes"], r["views"], tuple(r["path"]))
+                 for r in threads.flatten_threads(posts).collect())
+    assert got == [
+        ("", "", "", "1", "u", 0, 0, (2,)), ("1", "u", "c", "", "", 0, 0, ()), ("2", "", "", "1", "u", 3, 0, (0,)),
+        ("3", "w", "", "2", "", 0, 0, (0, 1)), ("4", "", "é \u0001", "1", "u", 0, 0, (3,)), ("8", "v", "", "", "", 0, 0, ()),
+        ("9", "", "", "", "", 0, 0, ())]
 
 
 def test_cycles_are_told(spark):
@@ -146,6 +165,28 @@ def test_typed_replies(spark):
     assert got == [("1", "", "", 0), ("2", "1", "x", 1)]
 
 
+def test_a_long_path_takes_few_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(threads, "cut_lineage", lambda df: written.append(1) or cut_lineage(df))
+    n = 10_000
+    chain = spark.range(n).selectExpr("7 t", "id n", "CASE WHEN id % 5000 > 0 THEN id - 1 END p")
+    got = threads.tree_depths(chain, "t", "n", "p")
+    assert got.where("depth <> n % 5000").isEmpty() and got.count() == n
+    assert len(written) <= 15 + 1
+
+
+def test_orphans_have_no_depth(spark):
+    rows = spark.createDataFrame([(1, 0, None), (1, 1, 0), (1, 2, 99), (1, 3, 2), (2, 1, 0)], "t int, n int, p int")
+    assert sorted(map(tuple, threads.tree_depths(rows, "t", "n", "p").collect())) == [(1, 0, 0), (1, 1, 1)]
+    assert threads.tree_depths(rows.limit(0), "t", "n", "p").count() == 0
+
+
+def test_post_numbers_above_the_precision_of_doubles(spark):
+    rows = spark.createDataFrame([("a", 2**60 + i) for i in (3, 1, 2, 0)] + [("b", 5)], "author_id string, o long")
+    got = {(r["author_id"], r["o"]): r["post_id"] for r in threads.numbered_posts(rows, "o").collect()}
+    assert got == {("a", 2**60 + i): i + 1 for i in range(4)} | {("b", 5): 1}
+
+
 def test_deep_trees(spark):
     chain = spark.createDataFrame([(1, i, i - 1 if i else None) for i in range(6)], "t int, n int, p int")
     got = {r["n"]: r["depth"] for r in threads.tree_depths(chain, "t", "n", "p").collect()}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 from itertools import count
 
@@ -12,8 +11,11 @@ from pyspark.sql import types as T
 
 from threadtide.functions import text as tx
 from threadtide.operators.ranks import global_row_number
+from threadtide.operators.skew import join_hot
 from threadtide.session import cut_lineage, fresh_path
-from threadtide.sources.schemas import COUNTERS, JSON_DEPTH, NODE
+from threadtide.sources.schemas import COUNTERS, JSON_DEPTH
+
+LEVELS, DEEPER = 6, 24  # of replies that the first pass unfolds, and each later one
 
 
 def _replies(posts: DataFrame) -> Column:
@@ -24,59 +26,73 @@ def _replies(posts: DataFrame) -> Column:
     return held if posts.schema["replies_content"].dataType == T.StringType() else F.to_json(held)
 
 
-def _row(value: Callable[[str], Column], parent_id: Column, parent_user: Column, path: Column, below: Column) -> list[Column]:
-    text = lambda n: F.coalesce(value(n), F.lit(""))
-    return [
-        text("link").alias("id"),
-        text("username").alias("username"),
-        text("content").alias("content"),
-        parent_id.alias("parent_id"),
-        *[F.coalesce(value(c), F.lit(0)).alias(c) for c in COUNTERS],
-        path.alias("path"),
-        parent_user.alias("parent_username"),
-        below.alias("_below"),
-    ]
+def _row(text: dict[str, Column], numbers: dict[str, Column], parent_id: Column, parent_user: Column, path: Column,
+         below: Column) -> Column:
+    blank = {k: F.coalesce(c, F.lit("")) for k, c in text.items()}
+    return F.struct(
+        blank["link"].alias("id"), blank["username"].alias("username"), blank["content"].alias("content"), parent_id.alias("parent_id"),
+        *[F.coalesce(numbers[c], F.lit(0).cast("bigint")).alias(c) for c in COUNTERS],
+        path.alias("path"), parent_user.alias("parent_username"), below.alias("_below"))
+
+
+def _below(replies: Column, parent_id: Column, parent_user: Column, path: Column, levels: int) -> Column:
+    """The rows of ``levels`` levels of replies, given as a VARIANT. The deepest keep what is below them."""
+    def rows(x: Column) -> Column:
+        n, here = x["n"], F.concat(path, F.array(x["i"]))
+        text = {k: F.try_variant_get(n, f"$.{k}", "string") for k in ("link", "username", "content")}
+        numbers = {k: F.try_variant_get(n, f"$.{k}", "bigint") for k in COUNTERS}
+        own = F.try_variant_get(n, "$.replies_content", "variant")
+        if levels == 1:
+            return F.array(_row(text, numbers, parent_id, parent_user, here, own))
+        one = F.array(_row(text, numbers, parent_id, parent_user, here, F.lit(None).cast("variant")))
+        link, user = F.coalesce(text["link"], F.lit("")), F.coalesce(text["username"], F.lit(""))
+        return F.concat(one, _below(own, link, user, here, levels - 1))
+
+    nodes = F.coalesce(F.try_variant_get(replies, "$", "array<variant>"), F.array().cast("array<variant>"))
+    placed = F.transform(nodes, lambda n, i: F.struct(n.alias("n"), i.alias("i")))
+    return F.flatten(F.transform(F.filter(placed, lambda x: ~F.is_variant_null(x["n"])), rows))
 
 
 def flatten_threads(posts: DataFrame) -> DataFrame:
     """One row per post, comment and reply with its parent's id and the author of the file.
 
-    Threads unfold level by level until none has replies left, without shuffles; each level is a written
-    stage that parses only what the level above left as text. ``path`` holds the sibling positions below the
-    post and gives the pre-order.
+    Replies are parsed once, into a VARIANT, and unfold ``LEVELS`` levels in the first pass, ``DEEPER`` in later ones, without shuffles; each pass is a written
+    stage, and only replies nested deeper wait for the next one. ``path`` holds the sibling positions below the post and
+    gives the pre-order.
     """
     keep = [c for c in ("author_id", "post_id") if c in posts.columns]
-    nothing = F.lit("")
-    top = _row(F.col, nothing, nothing, F.array().cast("array<int>"), _replies(posts))
-    level = posts.select(*keep, *top)
+    nothing, root = F.lit(""), F.array().cast("array<int>")
+    text = {k: F.col(k) for k in ("link", "username", "content")}
+    numbers = {k: F.col(k).cast("bigint") for k in COUNTERS}
+    link, user = (F.coalesce(text[k], nothing) for k in ("link", "username"))
+    held = posts.withColumn("_held", F.parse_json(_replies(posts)))
+    top = F.array(_row(text, numbers, nothing, nothing, root, F.lit(None).cast("variant")))
+    unfolded = F.concat(top, _below(F.col("_held"), link, user, root, LEVELS))
+    level = held.select(*keep, F.explode(unfolded).alias("_r")).select(*keep, "_r.*")
     path, schema = fresh_path(posts.sparkSession, "threads"), level.schema
 
     def written(rows: DataFrame, nth: int) -> DataFrame:
         rows.write.parquet(f"{path}/level={nth}")
         return posts.sparkSession.read.schema(schema).parquet(f"{path}/level={nth}")
 
-    level = written(level, 0)
-    for nth in count(1):
-        replies = F.from_json("_below", T.ArrayType(NODE), JSON_DEPTH)
-        below = level.where("_below IS NOT NULL").select(
-            *keep, "id", "username", F.col("path").alias("_above"), F.posexplode(replies).alias("_i", "_n"))
-        level = written(below.where("_n IS NOT NULL").select(*keep, *_row(
-            lambda n: F.col("_n")[n], F.col("id"), F.col("username"),
-            F.concat("_above", F.array("_i")), F.col("_n.replies_content"))), nth)
-        if level.isEmpty():
+    for nth in count():
+        level = written(level, nth)
+        waiting = level.where(F.try_variant_get("_below", "$[0]", "variant").isNotNull())
+        if waiting.isEmpty():
             return posts.sparkSession.read.schema(schema).parquet(path).drop("level", "_below")
+        more = _below(F.col("_below"), F.col("id"), F.col("username"), F.col("path"), DEEPER)
+        level = waiting.select(*keep, F.explode(more).alias("_r")).select(*keep, "_r.*")
 
 
 def numbered_posts(posts: DataFrame, order: str) -> DataFrame:
-    """Post numbers 1, 2, ... restarting per author.
+    """Post numbers 1, 2, ... restarting per author, in the order of a key of any orderable type.
 
-    Ordered counts keep a very busy author from being one window partition.
+    Posts are numbered once over all authors by (author, key); an author's first number is taken off, so that a very
+    busy author is no window partition.
     """
-    from threadtide.operators.ranks import ordered_counts
-
-    places = ordered_counts(posts, order, ["author_id"]).select(
-        "author_id", F.col(order).alias("_o"), (F.col("n_before") + 1).alias("post_id"))
-    return posts.withColumn("_o", F.col(order).cast("double")).join(places, ["author_id", "_o"]).drop("_o")
+    rows = global_row_number(posts, [F.col("author_id"), F.col(order)], "_place").drop("_place_total")
+    first = rows.groupBy("author_id").agg(F.min("_place").alias("_first"))
+    return join_hot(rows, first, ["author_id"]).withColumn("post_id", F.col("_place") - F.col("_first") + 1).drop("_place", "_first")
 
 
 def comments_table(posts: DataFrame) -> DataFrame:
@@ -109,20 +125,23 @@ def comments_table(posts: DataFrame) -> DataFrame:
 def tree_depths(df: DataFrame, thread: str, node: str, parent: str) -> DataFrame:
     """T4: depth of every node of trees given as (thread, node, parent) rows, of any depth.
 
-    One equi-join per level; links and finished levels are written to the shared folder, so neither the
-    lineage nor the work grows with the depth. A path longer than the number of links can only be a cycle.
+    Pointer doubling: a node that points k steps up takes over where that ancestor points, so a path of n nodes takes
+    log2(n) rounds. A round is one join of the nodes still under way, a busy ancestor in several places, and one written
+    table. Nodes above which a parent is missing have no depth. After log2 of the number of rows every pointer has
+    left its tree, or it runs in a circle.
     """
-    links = cut_lineage(df.select(thread, node, parent))
-    level = links.where(F.col(parent).isNull()).select(thread, node, F.lit(0).cast("bigint").alias("depth"))
-    levels = [level]
-    children = links.where(F.col(parent).isNotNull())
-    most = children.count()
-    while len(levels) <= most + 1:
-        above = level.select(thread, F.col(node).alias(parent), (F.col("depth") + 1).alias("depth"))
-        level = cut_lineage(children.join(above, [thread, parent]).select(thread, node, "depth"))
-        if level.isEmpty():
-            return reduce(DataFrame.unionByName, levels)
-        levels.append(level)
+    start = cut_lineage(df.select(thread, node, F.col(parent).alias("_up"), F.col(parent).isNotNull().cast("bigint").alias("depth")))
+    ended, open_ = [start.where("_up IS NULL")], start.where("_up IS NOT NULL")
+    rounds = max(1, start.count()).bit_length() + 1
+    for _ in range(rounds):
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, ended).select(thread, node, "depth")
+        known = reduce(DataFrame.unionByName, [*ended, open_])
+        ahead = known.select(thread, F.col(node).alias("_up"), F.col("_up").alias("_next"), F.col("depth").alias("_more"))
+        moved = cut_lineage(join_hot(open_, ahead, [thread, "_up"]).select(
+            thread, node, F.col("_next").alias("_up"), (F.col("depth") + F.col("_more")).alias("depth")))
+        ended.append(moved.where("_up IS NULL"))
+        open_ = moved.where("_up IS NOT NULL")
     raise ValueError("a node is its own ancestor")
 
 
