@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadtide.functions.text import rule_scores
 from threadtide.operators.sampling import hash_key, per_user_sample
 
 BatchScorer = Callable[[pd.Series], pd.DataFrame]
@@ -44,6 +45,43 @@ def score_batches(df: DataFrame, text: str, load: Callable[[], BatchScorer], sch
     return df.mapInPandas(run, whole)
 
 
+#: The tasks of the batch analysis and the labels of each, first the one of a positive finding.
+TASKS = {"sentiment": ("negative", "positive", "neutral"), "irony": ("irony", "non_irony"),
+         "hate": ("HATE", "NOT-HATE"), "offensive": ("offensive", "non-offensive")}
+
+
+def score_tasks(df: DataFrame, text: str, load: dict[str, Callable[[], BatchScorer]]) -> DataFrame:
+    """``<task>_label`` and ``<task>_prob`` of every task, each from a scorer of its own that maps texts to a frame
+    (label, prob). Models are opened once per task of Spark; a text that one scorer fails on is NULL in all columns."""
+    def opened() -> BatchScorer:
+        scorers = {name: one() for name, one in load.items()}
+
+        def score(texts: pd.Series) -> pd.DataFrame:
+            parts = [s(texts).set_axis([f"{n}_label", f"{n}_prob"], axis=1) for n, s in scorers.items()]
+            return pd.concat([p.reset_index(drop=True) for p in parts], axis=1)
+
+        return score
+
+    return score_batches(df, text, opened, ", ".join(f"{n}_label string, {n}_prob double" for n in load))
+
+
+def rule_tasks(df: DataFrame, text: str) -> DataFrame:
+    """The four tasks by the rule scorer, for use without models; all in expressions. The probability is that of the
+    label; a text that ends in the sarcasm mark ``/s`` is ironic. NULL texts have NULL results."""
+    scored = rule_scores(df.withColumn("_text", F.col(text)), "_text")
+    known = F.col(text).isNotNull()
+    sarcastic = F.col(text).rlike(r"(^|\s)/s\s*$")
+
+    def two(task: str, hit: Column, prob: Column) -> dict[str, Column]:
+        yes, no = TASKS[task]
+        return {f"{task}_label": F.when(known, F.when(hit, yes).otherwise(no)), f"{task}_prob": F.when(known, F.when(hit, prob).otherwise(1 - prob))}
+
+    columns = {"sentiment_label": F.when(known, F.col("sentiment")), "sentiment_prob": F.when(known, F.col("sentiment_prob"))}
+    columns |= two("irony", sarcastic, F.when(sarcastic, 0.9).otherwise(0.1))
+    columns |= two("hate", F.col("hate_prob") > 0.2, F.col("hate_prob")) | two("offensive", F.col("offensive_prob") > 0.2, F.col("offensive_prob"))
+    return scored.select(*df.columns, *[c.alias(k) for k, c in columns.items()])
+
+
 def probabilities(logits: Column) -> Column:
     """Softmax of an array of logits, shifted by the maximum."""
     shifted = F.transform(logits, lambda v: F.exp(v - F.array_max(logits)))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from threadtide.functions import special
 from threadtide.operators.ranks import global_row_number
+from threadtide.operators.stats import rank_statistics
 from threadtide.session import spread
 
 PRIME = 2147483647
@@ -208,6 +209,14 @@ def weighted_u(df: DataFrame, value: str, label: str, weight: str, key: str, rep
                                      F.col("low").alias("u_ci_low"), F.col("high").alias("u_ci_high"))
 
 
+def beside_unweighted(df: DataFrame, value: str, label: str, weight: str, key: str, replicates: int = 1000) -> DataFrame:
+    """The plain U test and, in the same row, the weighted one with the mean weight of both samples."""
+    plain = rank_statistics(df, value, F.col(label) == 1).select("n1", "n0", "u", "p_value", F.lit(1).cast("bigint").alias("tests"))
+    one = F.col(label) == 1
+    means = df.agg(F.avg(F.when(one, F.col(weight))).alias("weight_bots"), F.avg(F.when(~one, F.col(weight))).alias("weight_humans"))
+    return plain.crossJoin(weighted_u(df, value, label, weight, key, replicates)).crossJoin(means)  # one row each
+
+
 def affine_steps(n: int, replicates: int) -> tuple[np.ndarray, np.ndarray]:
     """Per replicate a multiplier coprime to n and a shift: i -> (a i + c) mod n permutes 0..n-1."""
     a, c = [], []

@@ -366,6 +366,25 @@ def trigger_efficiency(roots: DataFrame) -> DataFrame:
     )
 
 
+def enough_rows(results: DataFrame, df: DataFrame, least: int, what: str) -> DataFrame:
+    """Q6: the row of a test with all figures NULL and an error text when the data has fewer than ``least`` rows."""
+    n = df.agg(F.count("*")).scalar()
+    few = n < least
+    return results.select(*[
+        F.when(few, F.concat(F.lit(f"insufficient {what} ("), n.cast("string"), F.lit(" rows)"))).otherwise(F.col("error")).alias("error")
+        if c == "error" else F.when(~few, F.col(c)).alias(c) for c in results.columns])
+
+
+def leaning_groups(df: DataFrame, value: str, leaning: str = "leaning", label: str = "label", min_rows: int = 100) -> DataFrame:
+    """One-way test over the groups of leaning and label (six with three leanings); an error text for fewer rows."""
+    rows = df.where(F.col(leaning).isin("Left", "Right", "Neutral") & F.col(label).isin(0, 1)).withColumn(
+        "_group", F.concat_ws("_", F.lower(leaning), F.when(F.col(label) == 1, "bot").otherwise("human")))
+    t = one_way_anova(rows, value, "_group")
+    tested = anova_p(t, F.col("n_groups") - 1, F.col("n") - F.col("n_groups"))
+    found = F.when(F.col("p_value") < 0.05, "INTERACTION FOUND").when(F.col("p_value").isNotNull(), "NO SIGNIFICANT INTERACTION")
+    return enough_rows(tested.withColumn("conclusion", found), rows, min_rows, "data after merge")
+
+
 def trigger_effect(df: DataFrame, share: float = 0.75, min_each: int = 5) -> DataFrame:
     """U test on reply variance, bots against humans, among roots in the upper quartile of the index.
 

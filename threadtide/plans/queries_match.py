@@ -228,6 +228,19 @@ def _(spark, sf):
     return out.select("doc_id", "sentiment_label", F.round("sentiment_prob", 9).alias("sentiment_prob"))
 
 
+@query("U1_four_tasks", f"""WITH dummy AS (SELECT 1)
+{queries_text.RULES.replace("FROM st)", "FROM (SELECT doc_id, text AS content FROM documents) st)", 1)},
+j AS (SELECT rs.*, regexp_matches(content, '(^|\\s)/s\\s*$') AS sarcastic FROM rs JOIN k USING (doc_id))
+SELECT DISTINCT doc_id, sentiment AS sentiment_label, sentiment_prob, CASE WHEN sarcastic THEN 'irony' ELSE 'non_irony' END AS irony_label, 0.9e0 AS irony_prob,
+       CASE WHEN hate_prob > 0.2e0 THEN 'HATE' ELSE 'NOT-HATE' END AS hate_label,
+       round(CASE WHEN hate_prob > 0.2e0 THEN hate_prob ELSE 1 - hate_prob END, 9) AS hate_prob,
+       CASE WHEN offensive_prob > 0.2e0 THEN 'offensive' ELSE 'non-offensive' END AS offensive_label,
+       round(CASE WHEN offensive_prob > 0.2e0 THEN offensive_prob ELSE 1 - offensive_prob END, 9) AS offensive_prob FROM j""")
+def _(spark, sf):
+    out = labelling.rule_tasks(table(spark, sf, "documents").select("doc_id", "text"), "text").drop("text")
+    return out.select(*[F.round(c, 9).alias(c) if c.endswith("_prob") else c for c in out.columns])
+
+
 @query("U2_detection", views.sc_sql("""
 SELECT comment_id, CASE WHEN b > a THEN 'LABEL_1' ELSE 'LABEL_0' END AS label, round(exp(b) / (exp(a) + exp(b)), 9) AS ai_confidence
 FROM (SELECT comment_id, irony_prob * 4 AS a, hate_prob * 5 AS b FROM sc) q"""))

@@ -103,6 +103,14 @@ def _(spark, sf):
     return models.user_level_training(sure, FEATURES, pairs, (2, 5, 10), (0.05, 0.1, 0.25, 0.5))
 
 
+@query("M17_single_setting")
+def _(spark, sf):
+    """All users with at least five comments, whatever the confidence of their labels."""
+    sure = scored_comments(spark, sf).withColumn("sure", F.greatest("ai_confidence", 1 - F.col("ai_confidence")))
+    pairs = [(lab, "sure" if lab == "label" else p) for lab, p in PAIRS]
+    return models.user_level_training(sure, FEATURES, pairs, (5,), (0.5,))
+
+
 @query("M18_model_round_trip")
 def _(spark, sf):
     path, rows = fresh_path(spark, "model"), training_rows(spark, sf)

@@ -10,7 +10,7 @@ from threadtide.functions import index as ix
 from threadtide.operators import resample as rs
 from threadtide.plans.queries_users import rounded
 from threadtide.plans.registry import query
-from threadtide.plans.sqltext import normal_tail
+from threadtide.plans.sqltext import normal_tail, u_test
 from threadtide.plans.views import indexed_comments, sc_sql
 
 REPS = 1000
@@ -59,6 +59,18 @@ def _(spark, sf):
     return rounded(rs.weighted_u(rows, "rbi", "label", "wt", "comment_id", REPS), u_weighted_mean=3, u_ci_low=3, u_ci_high=3)
 
 
+@query("X2_beside_unweighted", sc_sql(f"""
+SELECT n1, n0, round(u, 3) AS u, round(p_value, 6) AS p_value, {REPS} AS replicates, CAST(1 AS BIGINT) AS tests,
+       (SELECT round(avg(ai_confidence + 0.5e0) FILTER (label = 1), 9) FROM x) AS weight_bots,
+       (SELECT round(avg(ai_confidence + 0.5e0) FILTER (label = 0), 9) FROM x) AS weight_humans
+FROM ({u_test('x', 'rbi', 'label = 1')}) t"""))
+def _(spark, sf):
+    rows = indexed_comments(spark, sf).withColumn("wt", F.col("ai_confidence") + 0.5)
+    both = rs.beside_unweighted(rows, "rbi", "label", "wt", "comment_id", REPS)
+    out = both.select("n1", "n0", "u", "p_value", F.col("replicates").cast("int").alias("replicates"), "tests", "weight_bots", "weight_humans")
+    return rounded(out, u=3, p_value=6)
+
+
 RATES = (0.05, 0.15, 0.20)
 
 

@@ -96,6 +96,23 @@ def _(spark, sf):
     return rounded(users.user_profiles(indexed_comments(spark, sf)))
 
 
+@query("A6_user_table", sc_sql("""
+, v AS (""" + " UNION ALL ".join(
+    f"SELECT commenter_id, '{lab}' AS col, CAST({lab} AS VARCHAR) AS lab, sum({p}) AS w FROM sc GROUP BY ALL" for lab, p in PAIRS) + """),
+b AS (SELECT commenter_id, col, lab FROM v QUALIFY row_number() OVER (PARTITION BY commenter_id, col ORDER BY round(w, 9) DESC, lab) = 1),
+w AS (SELECT commenter_id, """ + ", ".join(f"max(lab) FILTER (col = '{lab}') AS {lab}_weighted" for lab, _ in PAIRS) + """ FROM b GROUP BY 1),
+m AS (SELECT commenter_id, """ + ", ".join(
+    f"avg({'CAST(tagged_grok AS INT)' if f == 'tagged_grok' else f}) AS avg_{f}" for f in FEATURES) + """,
+  avg(hate_prob) AS h, avg(irony_prob) AS i, stddev_pop(hate_prob) AS hs, stddev_pop(irony_prob) AS irs, count(*) AS num_comments FROM sc GROUP BY 1)
+SELECT commenter_id, """ + ", ".join(f"round(avg_{f}, 9) AS avg_{f}" for f in FEATURES) + """, num_comments,
+  """ + ", ".join(f"{lab}_weighted" for lab, _ in PAIRS) + """,
+  round((h + i) / 2, 9) AS pair_mean_reduced, round((hs + irs) / 2, 9) AS pair_std_reduced
+FROM m JOIN w USING (commenter_id) WHERE num_comments >= 5"""))
+def _(spark, sf):
+    rows = scored_comments(spark, sf).withColumn("pair", F.array("hate_prob", "irony_prob"))
+    return rounded(users.user_table(rows, FEATURES, PAIRS, "pair").where("num_comments >= 5"))
+
+
 @query("A7_user_stats", sc_sql("""
 SELECT commenter_id, round(avg(rbi), 9) AS rbi, round(avg(label), 9) AS label,
        round(avg(ai_confidence), 9) AS ai_confidence, count(comment_id) AS n_comments FROM x GROUP BY 1"""))
@@ -270,6 +287,7 @@ def _(spark, sf):
     return rounded(users.deciles(profiles, "avg_rbi", "bot_probability"))
 
 
+SURE_ROWS = "ai_confidence > 0.9e0 OR ai_confidence < 0.1e0"
 TOP = """
 , u AS (SELECT commenter_id, avg(rbi) AS rbi, avg(label) AS label, avg(ai_confidence) AS conf FROM x GROUP BY 1),
 r AS (SELECT *, row_number() OVER (ORDER BY round(rbi, 9) DESC, commenter_id) AS place, count(*) OVER () AS n FROM u),
@@ -301,6 +319,20 @@ def _(spark, sf):
     return rounded(users.super_spreaders(indexed_comments(spark, sf)))
 
 
+@query("A22_high_confidence", sc_sql(TOP.replace("FROM x", "FROM c").replace("\n, u AS", f"\n, c AS (SELECT * FROM x WHERE {SURE_ROWS})\n, u AS", 1) + """
+, g AS (SELECT greatest(CAST(floor(max(n) * 0.01e0) AS BIGINT), 10) AS k FROM r)
+SELECT max(k) AS n_top_users, round(sum(conf), 6) AS prob_bot_count, round(sum(conf) / max(k) * 100, 9) AS pct_synthetic,
+       round(sum(label) / max(k) * 100, 9) AS pct_label, round(sum(label * conf) / max(k) * 100, 9) AS pct_weighted,
+       count(*) FILTER (label >= 0.5) AS hard_bot_count,
+       round(count(*) FILTER (label >= 0.5) * 1e0 / max(k) * 100, 9) AS hard_pct, round(max(base), 9) AS baseline_pct,
+       round(sum(conf) / max(k) * 100 / max(base), 9) AS enrichment, CAST(NULL AS VARCHAR) AS error
+FROM r, g, b WHERE place <= k"""))
+def _(spark, sf):
+    rows = indexed_comments(spark, sf).where(ix.strictly_confident(F.col("ai_confidence")))
+    found = users.super_spreaders(rows).withColumn("error", F.lit(None).cast("string"))
+    return rounded(stats.enough_rows(found, rows, 50, "high-confidence data"))
+
+
 @query("A24_grid_summary", sc_sql("""
 , g(t) AS (VALUES (0.05e0), (0.1e0), (0.25e0), (0.5e0)), m(min_comments) AS (VALUES (2), (5), (10)),
 w AS (SELECT sc.*, t FROM sc, g WHERE ai_confidence <= t OR ai_confidence >= 1e0 - t),
@@ -465,6 +497,36 @@ def _two_way(df, value, min_rows):
     return rounded(stats.anova_p(t, F.lit(1), F.col("n") - 4))
 
 
+def confident(df):
+    """The strictly high-confidence rows of the suite."""
+    return df.where(ix.strictly_confident(F.col("ai_confidence")))
+
+
+def groups_sql(keep: str, least: int) -> str:
+    return f"""WITH {SC}, {LEANING}, y AS (SELECT x.*, lower(l.leaning) || CASE WHEN label = 1 THEN '_bot' ELSE '_human' END AS grp
+  FROM x JOIN leaning l ON x.author_id = l.author_id WHERE {keep}),
+c AS (SELECT grp, count(*) AS n, avg(rbi) AS m, var_samp(rbi) AS s2 FROM y GROUP BY 1),
+t AS (SELECT count(*) AS k, sum(n) AS nn, sum(n * m) / sum(n) AS g, sum(coalesce((n - 1) * s2, 0)) AS ssw FROM c),
+f AS (SELECT k, nn, ssw, ssb, ssb / (k - 1) / (ssw / (nn - k)) AS f FROM t,
+      (SELECT sum(n * (m - g) * (m - g)) AS ssb FROM c, t) z),
+q AS (SELECT *, {f_tail('f', '(k - 1)', '(nn - k)')} AS p, nn >= {least} AS ok FROM f)
+SELECT CASE WHEN ok THEN k END AS n_groups, CASE WHEN ok THEN CAST(nn AS BIGINT) END AS n, CASE WHEN ok THEN round(ssb, 6) END AS ss_between,
+       CASE WHEN ok THEN round(ssw, 6) END AS ss_within, CASE WHEN ok THEN round(f, 6) END AS f_stat, CASE WHEN ok THEN round(p, 6) END AS p_value,
+       CASE WHEN ok AND p < 0.05e0 THEN 'INTERACTION FOUND' WHEN ok THEN 'NO SIGNIFICANT INTERACTION' END AS conclusion,
+       CASE WHEN NOT ok THEN 'insufficient data after merge (' || CAST(nn AS BIGINT) || ' rows)' END AS error FROM q"""
+
+
+@query("X8_leaning_groups", groups_sql("true", 100))
+def _(spark, sf):
+    return rounded(stats.leaning_groups(indexed_comments(spark, sf).join(leaning(spark, sf), "author_id"), "rbi"))
+
+
+@query("X8_high_confidence", groups_sql(SURE_ROWS, 50))
+def _(spark, sf):
+    rows = confident(indexed_comments(spark, sf)).join(leaning(spark, sf), "author_id")
+    return rounded(stats.leaning_groups(rows, "rbi", min_rows=50))
+
+
 @query("X9_two_way_anova", f"WITH {SIDED} {_two_way_sql('y', 'rbi', 100)}")
 def _(spark, sf):
     return _two_way(sided(spark, sf), "rbi", INDEX_ROWS)
@@ -492,6 +554,20 @@ def _(spark, sf):
     return rounded(stats.trigger_effect(indexed_comments(spark, sf)), u=3)
 
 
+@query("X10_high_confidence", f"""WITH {SC}, c AS (SELECT * FROM x WHERE {SURE_ROWS}),
+{EV.format(var='var_samp', s='sentiment_prob').replace('FROM x', 'FROM c')},
+w AS (SELECT * FROM ev WHERE rbi >= (SELECT quantile_cont(rbi, 0.75e0) FROM ev)),
+t AS (SELECT *, m >= 50 AS many, m >= 50 AND n1 > 5 AND n0 > 5 AS ok FROM ({u_test('w', 'round(ev, 12)', 'label = 1')}) u, (SELECT count(*) AS m FROM c) k)
+SELECT CASE WHEN many THEN n1 END AS n1, CASE WHEN many THEN n0 END AS n0, CASE WHEN ok THEN round(mean1, 9) END AS mean1,
+       CASE WHEN ok THEN round(mean0, 9) END AS mean0, CASE WHEN ok THEN round(u, 3) END AS u, CASE WHEN ok THEN round(z, 6) END AS z,
+       CASE WHEN ok THEN round(delta, 9) END AS delta, CASE WHEN ok THEN round(p_value, 6) END AS p_value,
+       CASE WHEN NOT many THEN 'insufficient high-confidence data (' || m || ' rows)'
+            WHEN NOT ok THEN 'insufficient samples (bots=' || n1 || ', humans=' || n0 || ')' END AS error FROM t""")
+def _(spark, sf):
+    rows = confident(indexed_comments(spark, sf))
+    return rounded(stats.enough_rows(stats.trigger_effect(rows), rows, 50, "high-confidence data"), u=3)
+
+
 @query("X11_pls_path")
 def _(spark, sf):
     roots = stats.roots_with_variance(indexed_comments(spark, sf), "s", "offensive_prob", population=True)
