@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from functools import reduce
 from itertools import product
 from typing import TypeVar
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import Bucketizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -19,7 +19,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadtide.operators import evaluate, users
+from threadtide.operators import evaluate, lloyd, users, vectors
 from threadtide.operators.ranks import global_row_number
 from threadtide.operators.sampling import hash_key, stratified_split
 from threadtide.operators.stats import rank_statistics
@@ -72,15 +72,13 @@ def quantised(df: DataFrame, features: Sequence[str], bins: int = 32) -> DataFra
 # ------------------------------------------------------------------------------- clustering
 
 def kmeans_best(df: DataFrame, vector: str, k: int = 2, restarts: int = 10, seed: int = 42):
-    """M1: the k-means model of lowest cost over several seeds, and (rows with ``cluster``, centres)."""
-    data = df.withColumn("_v", array_to_vector(F.transform(vector, lambda x: x.cast("double")))).persist()
-    best = None
-    for i in range(restarts):
-        model = KMeans(k=k, seed=seed + i, featuresCol="_v", predictionCol="cluster").fit(data)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    data.unpersist()
-    return best.transform(data), [[float(x) for x in c] for c in best.clusterCenters()]
+    """M1: the centres of lowest cost over several restarts, which share their scans, and (rows with ``cluster``, centres)."""
+    centres, _, _ = lloyd.fit(df, vector, k, restarts, seed)
+    x = F.transform(vector, lambda v: v.cast("double"))
+    far = F.array(*[vectors.distance(F.col(vector), [float(v) for v in c]) for c in centres])
+    placed = df.withColumns({"_v": array_to_vector(x), "_far": far})
+    cluster = (F.array_position("_far", F.array_min("_far")) - 1).cast("int")
+    return placed.withColumn("cluster", cluster).drop("_far"), [[float(v) for v in c] for c in centres]
 
 
 def aligned(df: DataFrame, y: str, cluster: str, name: str = "aligned") -> DataFrame:
@@ -123,17 +121,16 @@ def silhouette(df: DataFrame, vector_col: str, cluster: str) -> float:
 
 def clustering_matrix(df: DataFrame, y: str, conf: str, vectors: Sequence[str], cuts: dict[str, float | None],
                       restarts: int = 10) -> DataFrame:
-    """M3: scores of every data set (a two-sided confidence cut or none) and vector column."""
-    out = None
-    for name, cut in cuts.items():
+    """M3: scores of every data set (a two-sided confidence cut or none) and vector column, clustered side by side."""
+    def one(name: str, cut: float | None, v: str) -> DataFrame:
         rows = df if cut is None else df.where((F.col(conf) >= cut) | (F.col(conf) <= 1 - cut))
-        for v in vectors:
-            clustered, _ = kmeans_best(rows, v, 2, restarts)
-            one = cluster_scores(clustered, y, "cluster").select(
-                F.lit(name).alias("dataset"), F.lit(v).alias("vector"), "ari", "accuracy",
-                F.lit(float(silhouette(clustered, "_v", "cluster"))).alias("silhouette"))
-            out = one if out is None else out.unionByName(one)
-    return out
+        clustered = cut_lineage(kmeans_best(rows.select(y, v), v, 2, restarts)[0])
+        return cluster_scores(clustered, y, "cluster").select(
+            F.lit(name).alias("dataset"), F.lit(v).alias("vector"), "ari", "accuracy",
+            F.lit(float(silhouette(clustered, "_v", "cluster"))).alias("silhouette"))
+
+    cells = [lambda n=n, c=c, v=v: one(n, c, v) for n, c in cuts.items() for v in vectors]
+    return reduce(DataFrame.unionByName, side_by_side(df.sparkSession, cells))
 
 
 # ------------------------------------------------------------------------------- classifiers
