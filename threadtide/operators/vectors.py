@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import PCA, CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadtide.operators import lowrank
 from threadtide.session import cut_lineage
 
 
@@ -135,31 +133,29 @@ def vocabulary(df: DataFrame, counts: DataFrame, features: int) -> DataFrame:
     )
 
 
+def unit_rows(df: DataFrame, key: str, text: str, features: int = 5000) -> tuple[DataFrame, list[str]]:
+    """The TF-IDF rows of V2 as (key, at, w): places in the returned vocabulary and weights of norm 1. Texts without a
+    term of the vocabulary have no row. Only the bounded vocabulary passes through the driver."""
+    counts = cut_lineage(term_counts(df, key, word_tokens(F.col(text))))
+    names = vocabulary(df, counts, features).orderBy("term").collect()
+    places = F.broadcast(df.sparkSession.createDataFrame(
+        [(t["term"], i, float(t["idf"])) for i, t in enumerate(names)], "term string, at int, idf double"))
+    cell = F.struct("at", (F.col("tf") * F.col("idf")).alias("w"))
+    cells = counts.join(places, "term").groupBy(key).agg(F.array_sort(F.collect_list(cell)).alias("cells"))  # a vocabulary at most
+    norm_ = F.sqrt(F.aggregate("cells", F.lit(0.0), lambda a, c: a + c["w"] * c["w"]))
+    return cells.select(key, F.transform("cells", lambda c: c["at"]).alias("at"),
+                        F.transform("cells", lambda c: c["w"] / norm_).alias("w")), [t["term"] for t in names]
+
+
 def svd_project(df: DataFrame, key: str, text: str, dims: int, features: int = 5000) -> tuple[DataFrame, list[float]]:
     """V3: truncated SVD of the TF-IDF rows; returns (key, lsa array) and the singular values.
 
     Only the bounded vocabulary and its basis (features x dims) pass through the driver.
     """
-    counts = cut_lineage(term_counts(df, key, word_tokens(F.col(text))))
-    terms = vocabulary(df, counts, features).orderBy("term").collect()
-    names = [t["term"] for t in terms]
-    tokens = df.select(key, word_tokens(F.col(text)).alias("tokens"))
-    tf = CountVectorizerModel.from_vocabulary(names, "tokens", "tf").transform(tokens)
-    weighted = ElementwiseProduct(scalingVec=Vectors.dense([t["idf"] for t in terms]), inputCol="tf", outputCol="w")
-    unit = Normalizer(p=2.0, inputCol="w", outputCol="unit").transform(weighted.transform(tf)).select("unit")
-    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(unit, "unit"), 0, len(names))
-    svd = matrix.computeSVD(min(dims, len(names)), computeU=False)
-    axes = svd.V.toArray()
-    basis = df.sparkSession.createDataFrame(
-        [(t["term"], float(t["idf"]), [float(x) for x in axes[i]]) for i, t in enumerate(terms)],
-        "term string, idf double, axis array<double>")
-    weights = counts.join(basis, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    parts = weights.select(key, F.posexplode(F.transform("axis", lambda a: a * F.col("w"))).alias("pos", "val"))
-    sums = parts.groupBy(key, "pos").agg(F.sum("val").alias("val")).groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "val"))).alias("cells"))  # dims cells per text
-    lsa = sums.join(norms, key).select(key, F.transform("cells", lambda x: x["val"] / F.col("norm")).alias("lsa"))
-    return lsa, [float(x) for x in svd.s.toArray()]
+    rows, names = unit_rows(df, key, text, features)
+    rows = cut_lineage(rows)
+    basis, values = lowrank.axes(rows, len(names), min(dims, len(names)))
+    return lowrank.projected(rows, key, basis, "lsa"), [float(x) for x in values]
 
 
 def lsa_dims(categories: int) -> int:

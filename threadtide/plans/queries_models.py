@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threadtide.operators import evaluate, models, vectors
+from threadtide.operators import attribution, evaluate, models, vectors
 from threadtide.plans.queries_users import FEATURES, PAIRS, rounded
 from threadtide.plans.registry import query
 from threadtide.plans.views import scored_comments, table
@@ -95,6 +95,24 @@ def _(spark, sf):
     return models.permutation_importance(_forest(spark, sf), training_rows(spark, sf), NAMES, "label", "comment_id")
 
 
+@query("M16_attribution_sums", """
+SELECT event_id + 1 AS comment_id, true AS adds_up FROM events""")
+def _(spark, sf):
+    rows = training_rows(spark, sf)
+    told = attribution.attributed(_forest(spark, sf), rows, NAMES, "comment_id")
+    total = F.col("base")
+    for f in NAMES:
+        total = total + F.col(f"c_{f}")
+    return told.select("comment_id", (F.abs(total - F.col("score")) < 1e-9).alias("adds_up"))
+
+
+@query("M16_attribution")
+def _(spark, sf):
+    rows = training_rows(spark, sf)
+    told = attribution.attributed(_forest(spark, sf), rows, NAMES, "comment_id")
+    return rounded(attribution.attribution_table(told, rows, NAMES, "comment_id"))
+
+
 @query("M17_user_level_training")
 def _(spark, sf):
     # votes weigh by certainty: weighted by P(machine), as the reference does, nearly every user votes 1
