@@ -46,9 +46,20 @@ def not_null(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def spelled(c: Column, letters: dict[str, str] | None = None) -> Column:
+    """Letters of other scripts in ASCII spelling, one by one, by a table (``lookups.script_letters`` and, e.g. for Han
+    readings, what the caller adds). Looked at only in texts that hold such letters."""
+    table = lk.script_letters() | (letters or {})
+    extra = "".join(f"\\x{{{ord(k):X}}}" for k in letters or {})
+    spelling = F.create_map(*[F.lit(x) for pair in sorted(table.items()) for x in pair])
+    one = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(spelling, x), x)), "")
+    return F.when(c.rlike(f"{lk.SCRIPTS[:-1]}{extra}]"), one).otherwise(c)
+
+
 def transliterate(c: Column) -> Column:
-    """Latin letters to ASCII. One-to-one letters in a single pass, longer forms only where present."""
-    out = F.translate(c, lk.FOLD_FROM, lk.FOLD_TO)
+    """Letters to ASCII. Other scripts first; of Latin, one-to-one letters in a single pass, longer forms only where
+    present."""
+    out = F.translate(spelled(c), lk.FOLD_FROM, lk.FOLD_TO)
     for mark, plain in lk.FOLD_LONG:
         out = F.replace(out, F.lit(mark), F.lit(plain))
     return F.when(c.rlike(r"[^\x00-\x7F]"), out).otherwise(c)

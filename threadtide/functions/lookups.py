@@ -272,13 +272,30 @@ FORMAL_WORDS = "however nevertheless therefore thus hence consequently".split()
 # Symbols dropped when they stand alone.
 LONE_SYMBOLS = "• ◦ ▪ ▫ · ※ → ← ↑ ↓ ✓ ✗ ★ ☆ ♦ ♥ ♠ ♣".split()
 
-# Names for common emojis, as (character, name); callers may pass a fuller table.
+# Emojis whose usual name is not that of the Unicode character.
 EMOJI_NAMES = [
-    ("😂", "face_with_tears_of_joy"), ("😀", "grinning_face"), ("😭", "loudly_crying_face"), ("😍", "smiling_face_with_heart-eyes"),
-    ("🔥", "fire"), ("🙏", "folded_hands"), ("👍", "thumbs_up"), ("❤", "red_heart"), ("🤔", "thinking_face"),
-    ("😡", "enraged_face"), ("🚀", "rocket"), ("🎉", "party_popper"),
+    ("😍", "smiling_face_with_heart-eyes"), ("🙏", "folded_hands"), ("👍", "thumbs_up"), ("👎", "thumbs_down"), ("❤", "red_heart"),
+    ("😡", "enraged_face"), ("👏", "clapping_hands"), ("👀", "eyes"), ("💪", "flexed_biceps"), ("💯", "hundred_points"),
+    ("🏻", "light_skin_tone"), ("🏼", "medium-light_skin_tone"), ("🏽", "medium_skin_tone"),
+    ("🏾", "medium-dark_skin_tone"), ("🏿", "dark_skin_tone"),
 ]
 
+
+def emoji_names() -> list[tuple[str, str]]:
+    """(emoji, name) of every pictograph: the fixed names, else the Unicode name in lower case with underscores; flags by
+    their two letters. A default for callers without a table of their own."""
+    fixed, out = dict(EMOJI_NAMES), []
+    for first, last in ((0x2190, 0x2BFF), (0x1F004, 0x1F0CF), (0x1F170, 0x1F251), (0x1F300, 0x1FAFF)):
+        for code in range(first, last + 1):
+            char = chr(code)
+            name = fixed.get(char) or unicodedata.name(char, "").lower().replace(" ", "_")
+            if name and unicodedata.category(char) in ("So", "Sk", "Sm"):
+                out.append((char, name))
+    letters = [chr(0x1F1E6 + i) for i in range(26)]
+    out += [(a + b, f"flag_{chr(65 + i)}{chr(65 + j)}") for i, a in enumerate(letters) for j, b in enumerate(letters)]
+    return out
+
+
 # Contracted forms and their expansions, as (pattern, replacement), applied in order.
 CONTRACTIONS = [
     (r"(?i)\bcan't\b", "cannot"),
@@ -320,3 +337,44 @@ FOLD_FROM, FOLD_TO = latin_folding()
 # Letters and marks whose ASCII form is longer than one character.
 FOLD_LONG = [("ß", "ss"), ("æ", "ae"), ("Æ", "AE"), ("œ", "oe"), ("Œ", "OE"), ("þ", "th"), ("Þ", "Th"),
              ("—", "--"), ("…", "..."), ("«", "<<"), ("»", ">>"), ("€", "EUR"), ("£", "PS"), ("©", "(c)"), ("®", "(r)")]
+
+# Letters of other scripts and their usual ASCII spelling, as pairs in the order of the alphabet.
+CYRILLIC = ("а a б b в v г g д d е e ё io ж zh з z и i й i к k л l м m н n о o п p р r с s т t у u ф f х kh ц ts ч ch ш sh "
+            "щ shch ъ ' ы y ь ' э e ю iu я ia є ie і i ї i ґ g ў u ђ dj ј j љ lj њ nj ћ tsh џ dzh")
+GREEK = "α a β b γ g δ d ε e ζ z η e θ th ι i κ k λ l μ m ν n ξ x ο o π p ρ r σ s ς s τ t υ u φ ph χ kh ψ ps ω o"
+HEBREW = "א a ב b ג g ד d ה h ו v ז z ח kh ט t י y ך k כ k ל l ם m מ m ן n נ n ס s ע ` ף p פ p ץ ts צ ts ק q ר r ש sh ת t"
+ARABIC = ("ا a أ a إ i آ a ب b ة h ت t ث th ج j ح h خ kh د d ذ dh ر r ز z س s ش sh ص s ض d ط t ظ z ع ` غ gh ف f ق q ك k ل l "
+          "م m ن n ه h و w ى a ي y ء ' ؤ w ئ y پ p چ ch ژ zh ک k گ g ی y")
+# Syllables whose spelling is not that of the Unicode name.
+KANA = {"si": "shi", "ti": "chi", "tu": "tsu", "hu": "fu", "zi": "ji"}
+SCRIPTS = r"[\x{0370}-\x{052F}\x{0590}-\x{06FF}\x{0900}-\x{097F}\x{3040}-\x{30FF}\x{FF10}-\x{FF5A}]"
+
+
+def script_letters() -> dict[str, str]:
+    """One letter of another script to its ASCII spelling: Cyrillic, Greek, Hebrew and Arabic from the tables, with accents
+    and capitals by decomposition; Devanagari, kana and wide forms from the Unicode names and numbers."""
+    out: dict[str, str] = {}
+    for table in (CYRILLIC, GREEK, HEBREW, ARABIC):
+        parts = table.split()
+        out |= dict(zip(parts[::2], parts[1::2]))
+    out |= {k.upper(): v.capitalize() for k, v in out.items() if len(k.upper()) == 1 and k.upper() != k}
+    for code in [*range(0x370, 0x530), *range(0x590, 0x700), *range(0x900, 0x980), *range(0x3040, 0x3100), *range(0xFF10, 0xFF5B)]:
+        char = chr(code)
+        name, kind = unicodedata.name(char, ""), unicodedata.category(char)
+        base = unicodedata.normalize("NFKD", char)[:1]
+        last = name.rsplit(" ", 1)[-1].lower()
+        if char in out or not name:
+            continue
+        if kind == "Nd":
+            out[char] = str(unicodedata.digit(char))
+        elif base in out or base.isascii():
+            out[char] = out.get(base, base)
+        elif name.startswith("DEVANAGARI LETTER"):
+            out[char] = last[:-1] if len(last) > 1 and last.endswith("a") and last != "aa" else last
+        elif name.startswith("DEVANAGARI VOWEL SIGN"):
+            out[char] = last
+        elif name.startswith(("HIRAGANA LETTER", "KATAKANA LETTER")):
+            out[char] = KANA.get(last, last)
+        elif kind in ("Mn", "Mc", "Lm", "Cf") or "PROLONGED SOUND" in name:
+            out[char] = ""  # marks that have no sound of their own
+    return out

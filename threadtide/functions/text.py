@@ -8,12 +8,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadtide.functions import lookups as lk
+from threadtide.operators.skew import join_hot
 
 # A word character in the Unicode sense, spelled out so that it means the same in every engine.
 WORD = r"[\p{L}\p{N}_]"
 
 EMOJI = (r"[\x{1F300}-\x{1F5FF}\x{1F600}-\x{1F64F}\x{1F680}-\x{1F6FF}\x{1F900}-\x{1F9FF}\x{1FA70}-\x{1FAFF}"
          r"\x{1F1E6}-\x{1F1FF}\x{2600}-\x{27BF}]")
+# Characters that stand for an emoji of their own. The first four rows are whole blocks of pictographs, the
+# rest single signs that other blocks hold among letters and symbols.
+EMOJI_SIGNS = (
+    r"\x{1F300}-\x{1F5FF}\x{1F600}-\x{1F64F}\x{1F680}-\x{1F6FF}\x{1F900}-\x{1F9FF}\x{1FA70}-\x{1FAFF}\x{1F7E0}-\x{1F7EB}\x{1F7F0}"
+    r"\x{1F004}\x{1F0CF}\x{1F170}\x{1F171}\x{1F17E}\x{1F17F}\x{1F18E}\x{1F191}-\x{1F19A}\x{1F201}\x{1F202}\x{1F21A}\x{1F22F}"
+    r"\x{1F232}-\x{1F23A}\x{1F250}\x{1F251}"
+    r"\x{A9}\x{AE}\x{203C}\x{2049}\x{2122}\x{2139}\x{2194}-\x{2199}\x{21A9}\x{21AA}\x{231A}\x{231B}\x{2328}\x{23CF}"
+    r"\x{23E9}-\x{23F3}\x{23F8}-\x{23FA}\x{24C2}\x{25AA}\x{25AB}\x{25B6}\x{25C0}\x{25FB}-\x{25FE}\x{2600}-\x{2604}\x{260E}"
+    r"\x{2611}\x{2614}\x{2615}\x{2618}\x{261D}\x{2620}\x{2622}\x{2623}\x{2626}\x{262A}\x{262E}\x{262F}\x{2638}-\x{263A}\x{2640}"
+    r"\x{2642}\x{2648}-\x{2653}\x{265F}\x{2660}\x{2663}\x{2665}\x{2666}\x{2668}\x{267B}\x{267E}\x{267F}\x{2692}-\x{2697}\x{2699}"
+    r"\x{269B}\x{269C}\x{26A0}\x{26A1}\x{26A7}\x{26AA}\x{26AB}\x{26B0}\x{26B1}\x{26BD}\x{26BE}\x{26C4}\x{26C5}\x{26C8}\x{26CE}"
+    r"\x{26CF}\x{26D1}\x{26D3}\x{26D4}\x{26E9}\x{26EA}\x{26F0}-\x{26F5}\x{26F7}-\x{26FA}\x{26FD}\x{2702}\x{2705}\x{2708}-\x{270D}"
+    r"\x{270F}\x{2712}\x{2714}\x{2716}\x{271D}\x{2721}\x{2728}\x{2733}\x{2734}\x{2744}\x{2747}\x{274C}\x{274E}\x{2753}-\x{2755}"
+    r"\x{2757}\x{2763}\x{2764}\x{2795}-\x{2797}\x{27A1}\x{27B0}\x{27BF}\x{2934}\x{2935}\x{2B05}-\x{2B07}\x{2B1B}\x{2B1C}\x{2B50}"
+    r"\x{2B55}\x{3030}\x{303D}\x{3297}\x{3299}")
+TONE = r"\x{1F3FB}-\x{1F3FF}"
+_UNIT = rf"[{EMOJI_SIGNS}](?:[{TONE}]|\x{{FE0F}})?"
+#: One emoji as it is seen: a flag, a key cap, a tagged flag, or signs with skin tones bound by joiners.
+EMOJI_SEQUENCE = (
+    r"[\x{1F1E6}-\x{1F1FF}]{2}|[0-9#*]\x{FE0F}?\x{20E3}|\x{1F3F4}[\x{E0061}-\x{E007A}]+\x{E007F}|"
+    rf"{_UNIT}(?:\x{{200D}}{_UNIT})*")
 # The four ranges that the dashboard scorer counts.
 DASHBOARD_EMOJI = r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{2600}-\x{26FF}]"
 # Links to media.
@@ -38,8 +60,8 @@ def words(text: Column) -> Column:
 
 
 def emoji_count(text: Column) -> Column:
-    """characters in the emoji blocks."""
-    return _count(text, EMOJI)
+    """emojis as they are seen: a family, a flag, a key cap and a skin tone are one with what they belong to."""
+    return _count(text, EMOJI_SEQUENCE)
 
 
 def emoticon_count(text: Column) -> Column:
@@ -178,13 +200,22 @@ def digit_words(text: Column) -> Column:
 def with_emoji_names(df: DataFrame, key: str, text: str, names: DataFrame, out: str) -> DataFrame:
     """emojis replaced by " emo-<name>- ", then every underscore by a blank; names has (emoji, name) rows.
 
-    Only texts with an emoji are taken apart; their pieces are put back together by position.
+    A sequence without a name of its own takes the names of its signs, joined by underscores; one with an unnamed sign
+    stays. Only texts with an emoji are taken apart; their pieces are put back together by position.
     """
-    pieces = F.split(F.col(text), EMOJI)
-    hits = df.where(F.col(text).rlike(EMOJI)).select(
-        key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(EMOJI), F.lit(0))).alias("pos", "emoji")
-    )
-    named = hits.join(names, "emoji", "left").groupBy(key).agg(
+    pieces = F.split(F.col(text), EMOJI_SEQUENCE)
+    hits = df.where(F.col(text).rlike(EMOJI_SEQUENCE)).select(
+        key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(EMOJI_SEQUENCE), F.lit(0))).alias("pos", "emoji"))
+    plain = names.select(F.regexp_replace("emoji", r"\x{FE0F}", "").alias("emoji"), "name")
+    kinds = hits.select("emoji").distinct().withColumn("bare", F.regexp_replace("emoji", r"\x{FE0F}", ""))
+    whole = kinds.join(plain.withColumnRenamed("emoji", "bare"), "bare", "left")
+    signs = whole.where("name IS NULL").select(
+        "bare", F.posexplode(F.regexp_extract_all("bare", F.lit(r"[^\x{200D}]"), F.lit(0))).alias("place", "sign"))
+    parts = signs.join(plain.select(F.col("emoji").alias("sign"), F.col("name").alias("part")), "sign", "left").groupBy("bare").agg(
+        F.when(F.count("part") == F.count("*"), F.array_join(F.transform(F.array_sort(F.collect_list(
+            F.struct("place", "part"))), lambda x: x["part"]), "_")).alias("parts"))  # the signs of one emoji
+    table = whole.join(parts, "bare", "left").select("emoji", F.coalesce("name", "parts").alias("name"))
+    named = join_hot(hits, table, ["emoji"], "left").groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("pos", F.coalesce(
             F.concat(F.lit(" emo-"), F.col("name"), F.lit("- ")), F.col("emoji")).alias("name")))).alias("_n")
     )

@@ -22,7 +22,7 @@ def _feature(name: str, sql: str, build, out: str = "n"):
         return social_text(spark, sf).select("doc_id", build(F.col("content"), F.col("author")).alias(out))
 
 
-_feature("F1_emoji_count", f"len(regexp_extract_all(content, '{tx.EMOJI}'))", lambda c, a: tx.emoji_count(c))
+_feature("F1_emoji_count", f"len(regexp_extract_all(content, '{tx.EMOJI_SEQUENCE}'))", lambda c, a: tx.emoji_count(c))
 _feature("F2_emoticon_count", " + ".join(
     f"CAST((strlen(content) - strlen(replace(content, {sq.quoted(e)}, ''))) / {len(e.encode())} AS BIGINT)" for e in lk.EMOTICONS
 ) + " + " + " + ".join(f"len(regexp_extract_all(content, '{p}'))" for p in lk.EMOTICON_PATTERNS),
@@ -115,13 +115,13 @@ def _(spark, sf):
 @query("F17_emoji_names", st_sql("""
 SELECT doc_id, replace(replace(content, '😂', ' emo-face_with_tears_of_joy- '), '_', ' ') AS named FROM st"""))
 def _(spark, sf):
-    names = spark.createDataFrame(lk.EMOJI_NAMES, "emoji string, name string")
+    names = spark.createDataFrame(lk.emoji_names(), "emoji string, name string")
     out = tx.with_emoji_names(social_text(spark, sf).select("doc_id", "content"), "doc_id", "content", names, "named")
     return out.select("doc_id", "named")
 
 
 @query("F_comment_features", st_sql(rf"""
-SELECT count(*) AS texts, CAST(sum(len(regexp_extract_all(content, '{tx.EMOJI}'))) AS BIGINT) AS emojis,
+SELECT count(*) AS texts, CAST(sum(len(regexp_extract_all(content, '{tx.EMOJI_SEQUENCE}'))) AS BIGINT) AS emojis,
        CAST(sum(length(regexp_replace(content, '[\x00-\x7F]', '', 'g'))) AS BIGINT) AS unicode_chars,
        count(*) FILTER (regexp_matches(content, 'https?://')) AS with_link FROM st"""))
 def _(spark, sf):
