@@ -35,7 +35,7 @@ from threadtide.llm import textnum as tn
 from threadtide.session import cut_lineage
 
 LEAST_DOCS, SMOOTHING, SCALE_STEPS, TOP = 30, 5, 3, 50  # shares are in units of 1000 ** -SCALE_STEPS
-BLOCK_BYTES, BLOCK_ROWS, LEAST_BLOCKS, TILE = 1 << 22, 1 << 15, 32, 1 << 20
+BLOCK_BYTES, BLOCK_ROWS, LEAST_BLOCKS, TILE = 1 << 21, 1 << 15, 32, 1 << 20
 LEAST_BITS, MOST_BITS, TERMS_HELD = 1 << 16, 1 << 27, 1 << 20
 TERM = np.full(256, 32, np.uint8)  # every other byte parts terms
 TERM[97:123], TERM[65:91], TERM[128:] = np.arange(97, 123), np.arange(97, 123), np.arange(128, 256)
