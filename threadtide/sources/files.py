@@ -56,12 +56,27 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
     df.select(*columns).write.mode("errorifexists").option("escape", '"').option("quoteAll", True).csv(path, header=True)
 
 
+def broken_files(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """The files below ``path`` in which no quoted field can hold a line break, and the others. A field that goes on in
+    the next line leaves an odd number of quotes in the line it begins in; doubled quotes do not change parity."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), (F.length(F.regexp_replace("value", '[^"]', "")) % 2).alias("odd"))
+    found = lines.groupBy("file").agg(F.max("odd").alias("odd")).orderBy("file").collect()  # a row per file
+    return [r["file"] for r in found if not r["odd"]], [r["file"] for r in found if r["odd"]]
+
+
 def read_csv(spark: SparkSession, path: str, schema: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """CSV with header, quotes, embedded commas and line breaks; only the wanted columns are parsed."""
-    df = (
-        spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"')
-        .option("escape", '"').csv(path)
-    )
+    """CSV with header, quotes, embedded commas and line breaks; only the wanted columns are parsed.
+
+    A file with quoted line breaks can only be read from its start, by one task. Files proven to have none, by a
+    scan of their lines, are cut into parts like any text.
+    """
+    reader = spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"')
+    whole, broken = broken_files(spark, path)
+    parts = [reader.option("multiLine", multi).csv(files) for multi, files in ((False, whole), (True, broken)) if files]
+    if not parts:
+        parts = [spark.createDataFrame([], schema)]
+    df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return df.select(*columns) if columns else df
 
 
