@@ -131,14 +131,14 @@ def _(spark, sf):
 
 
 @query("P12_pack_and_unpack", """
-SELECT vec_id, """ + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS v{i}" for i in range(8)) + """
+SELECT vec_id, """ + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS v{i}" for i in range(64)) + """
 FROM embeddings""")
 def _(spark, sf):
     from threadtide.operators import vectors
 
     wide = vectors.unpack(table(spark, sf, "embeddings"), "embedding", 64, "v")
     packed = vectors.pack(wide, [f"v{i}" for i in range(64)], "packed")
-    return vectors.unpack(packed.select("vec_id", "packed"), "packed", 8, "v")
+    return vectors.unpack(packed.select("vec_id", "packed"), "packed", 64, "v")
 
 
 @query("P15_comment_count_bins", sc_sql("""

@@ -43,6 +43,25 @@ def _(spark, sf):
     return out.withColumn("score", F.round("score", 9))
 
 
+TURN_ID = "CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR)"
+
+
+@query("J11_misspelled_turns", f"""
+WITH t AS (SELECT {TURN_ID} AS id, text FROM conversations WHERE role = 'user'),
+a AS (SELECT id, {norm_sql("translate(text, 'et', 'xz')")} AS n FROM t),
+b AS (SELECT {norm_sql('text')} AS n, min(id) AS match_id FROM t GROUP BY 1),
+p AS (SELECT id, match_id, 1 - levenshtein(a.n, b.n) / (greatest(length(a.n), length(b.n)) * 1e0) AS score FROM a JOIN b
+      ON a.n <> '' AND b.n <> '' AND length(a.n) >= 0.65e0 * length(b.n) - 1e-9 AND length(b.n) >= 0.65e0 * length(a.n) - 1e-9)
+SELECT id, match_id, round(score, 9) AS score FROM p WHERE score >= 0.65e0
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, match_id) = 1""")
+def _(spark, sf):
+    """What users say, misspelled, against what they said: matches lie between the cut-offs."""
+    turns = table(spark, sf, "conversations").where("role = 'user'").select(
+        F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text")
+    out = matching.match_texts(turns.withColumn("text", F.translate("text", "et", "xz")), turns, "id", "text", "id", "text")
+    return out.select("id", "match_id", F.round("score", 9).alias("score"))
+
+
 # The documents and three misspelled copies of the benchmark items, to be matched with the benchmark.
 MIXED = """mixed AS (
   SELECT 'd' || CAST(doc_id AS VARCHAR) AS id, text FROM documents
@@ -151,24 +170,27 @@ def _(spark, sf):
     return both.select("vec_id", F.size("v").cast("bigint").alias("dims"), F.round(total, 5).alias("total"))
 
 
+def elements(df):
+    """Every element of the array ``v`` as a row."""
+    return df.select("vec_id", F.posexplode("v").alias("pos", "value")).select("vec_id", "pos", F.round("value", 9).alias("value"))
+
+
 @query("V5_normalised_embedding", """
 WITH e AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda u: CAST(u AS DOUBLE) * CAST(u AS DOUBLE)))) AS n FROM embeddings)
-SELECT vec_id, CASE WHEN mod(vec_id, 7) = 0 THEN 0e0 ELSE round(CAST(embedding[1] AS DOUBLE) / n, 9) END AS first,
-       CASE WHEN mod(vec_id, 7) = 0 THEN 0e0 ELSE round(CAST(embedding[64] AS DOUBLE) / n, 9) END AS last FROM e""")
+SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, CASE WHEN mod(vec_id, 7) = 0 THEN 0e0 ELSE round(CAST(embedding[i] AS DOUBLE) / n, 9) END AS value
+FROM e, range(1, 65) r(i)""")
 def _(spark, sf):
     raw = F.when(F.col("vec_id") % 7 != 0, F.col("embedding"))  # some texts are empty
-    out = table(spark, sf, "embeddings").select("vec_id", vectors.normalised(raw, 64).alias("v"))
-    return out.select("vec_id", F.round(F.element_at("v", 1), 9).alias("first"), F.round(F.element_at("v", 64), 9).alias("last"))
+    return elements(table(spark, sf, "embeddings").select("vec_id", vectors.normalised(raw, 64).alias("v")))
 
 
 @query("V5_mean_pool", """
-SELECT vec_id, round((CAST(embedding[1] AS DOUBLE) + CAST(embedding[64] AS DOUBLE)) / 2, 9) AS first,
-       round((CAST(embedding[2] AS DOUBLE) + CAST(embedding[63] AS DOUBLE)) / 2, 9) AS second FROM embeddings""")
+SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, round((CAST(embedding[i] AS DOUBLE) + CAST(embedding[65 - i] AS DOUBLE)) / 2, 9) AS value
+FROM embeddings, range(1, 65) r(i)""")
 def _(spark, sf):
     # a text of two tokens: the vector and its mirror image
     pooled = vectors.mean_pool(F.array("embedding", F.reverse("embedding")), 64)
-    out = table(spark, sf, "embeddings").select("vec_id", pooled.alias("v"))
-    return out.select("vec_id", F.round(F.element_at("v", 1), 9).alias("first"), F.round(F.element_at("v", 2), 9).alias("second"))
+    return elements(table(spark, sf, "embeddings").select("vec_id", pooled.alias("v")))
 
 
 CENTRES = [[0.01 * i for i in range(64)], [-0.01 * i for i in range(64)]]

@@ -28,6 +28,14 @@ def _(spark, sf):
     return placed.select("vec_id", "cluster", d0, d1, (F.when(d0 <= d1, 0).otherwise(1) == F.col("cluster")).alias("nearest"))
 
 
+@query("M1_nearest_centre", "SELECT vec_id, true AS nearest FROM embeddings")
+def _(spark, sf):
+    out, centres = models.kmeans_best(table(spark, sf, "embeddings"), "embedding", 3, 5)
+    far = F.array(*[vectors.distance(F.col("embedding"), c) for c in centres])
+    own = F.element_at(far, F.col("cluster") + 1)
+    return out.select("vec_id", (own <= F.array_min(far) + 1e-9).alias("nearest"))
+
+
 @query("M2_cluster_scores", """
 WITH e AS (SELECT mod(label, 2) AS y, CASE WHEN embedding[1] > 0 THEN 1 ELSE 0 END AS c FROM embeddings),
 t AS (SELECT y, c, count(*) * 1e0 AS n FROM e GROUP BY ALL),
@@ -83,6 +91,12 @@ def _(spark, sf):
     return models.importances(_forest(spark, sf), NAMES, spark, groups=groups)
 
 
+@query("M15_importance_total", "SELECT CAST(5 AS BIGINT) AS features, 1e0 AS total FROM events LIMIT 1")
+def _(spark, sf):
+    shares = models.importances(_forest(spark, sf), NAMES, spark, groups=dict.fromkeys(NAMES, "all"))
+    return shares.agg(F.count("*").alias("features"), F.round(F.sum("importance"), 9).alias("total"))
+
+
 @query("A23_group_importance")
 def _(spark, sf):
     groups = dict.fromkeys(NAMES[:3], "classifier scores") | {"rage": "lexicon", "noisy": "mixed"}
@@ -129,7 +143,7 @@ def _(spark, sf):
     return models.user_level_training(sure, FEATURES, pairs, (5,), (0.5,))
 
 
-@query("M18_model_round_trip")
+@query("M18_model_round_trip", "SELECT count(*) AS rows, 0e0 AS largest_gap FROM events")
 def _(spark, sf):
     path, rows = fresh_path(spark, "model"), training_rows(spark, sf)
     model = _forest(spark, sf)

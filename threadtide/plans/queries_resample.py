@@ -74,10 +74,11 @@ def _(spark, sf):
 RATES = (0.05, 0.15, 0.20)
 
 
-@query("X14_label_flips", sc_sql(f"""
+def flips_sql(rates: str) -> str:
+    return sc_sql(f"""
 , pl AS (SELECT rbi, label, row_number() OVER (ORDER BY md5('42|' || CAST(comment_id AS VARCHAR)), comment_id) - 1 AS i,
          count(*) OVER () AS n FROM x),
-e(error_rate) AS (VALUES (0.05e0), (0.15e0), (0.2e0)),
+e(error_rate) AS ({rates}),
 co AS (SELECT n, s FROM (SELECT max(n) AS n FROM pl) a, LATERAL (SELECT s FROM range(1, n + 1) g(s) WHERE gcd(s, n) = 1) b),
 ab AS (SELECT r AS rep, coalesce(min(s) FILTER (s >= st), min(s)) AS a, max(mod(r * 15485863, n)) AS c
        FROM (SELECT r, n, s, CASE WHEN mod(r * 829348951 + 12345, n) = 0 THEN 1 ELSE mod(r * 829348951 + 12345, n) END AS st
@@ -92,16 +93,21 @@ u AS (SELECT error_rate, rep, CAST(sum(part) AS DOUBLE) AS u, sum(c1) * 1e0 AS n
 zz AS (SELECT error_rate, d, (u - n1 * n0 / 2 - 0.5e0) / sqrt(n1 * n0 / 12 * ((n1 + n0 + 1) - ties / ((n1 + n0) * (n1 + n0 - 1)))) AS z FROM u)
 SELECT error_rate, count(*) AS replicates, round(count(*) FILTER (({normal_tail('z')}) < 0.05e0) * 1e0 / {REPS} * 100, 9) AS robustness,
        round(avg(d), 9) AS mean_diff, round(stddev_pop(d), 9) AS std_diff, round(quantile_cont(d, 0.025), 9) AS low,
-       round(quantile_cont(d, 0.975), 9) AS high FROM zz GROUP BY 1"""))
+       round(quantile_cont(d, 0.975), 9) AS high FROM zz GROUP BY 1""")
+
+
+@query("X14_label_flips", flips_sql("VALUES (0.05e0), (0.15e0), (0.2e0)"))
 def _(spark, sf):
     return rounded(rs.label_flips(indexed_comments(spark, sf), "rbi", "label", "comment_id", RATES, REPS))
 
 
-@query("X14_error_rates")
+@query("X14_error_rates", f"""SELECT round(error_rate, 9) AS error_rate, replicates, robustness, mean_diff, std_diff, low, high,
+       CASE WHEN robustness >= 95 THEN 'ROBUST' WHEN robustness >= 80 THEN 'SENSITIVE' ELSE 'NOT ROBUST' END AS class
+FROM ({flips_sql("SELECT avg(1 - greatest(ai_confidence, 1 - ai_confidence)) FROM sc")}) q""")
 def _(spark, sf):
     # the estimated error rate of the labels is one of the tested rates
     df = indexed_comments(spark, sf).withColumn(
         "sure", F.greatest("ai_confidence", 1 - F.col("ai_confidence")))
     rate = df.agg(F.avg(1 - F.col("sure"))).first()[0]
     out = rs.label_flips(df, "rbi", "label", "comment_id", [rate], REPS)
-    return out.withColumn("class", ix.robustness_class(F.col("robustness")))
+    return rounded(out).withColumn("class", ix.robustness_class(F.col("robustness")))
