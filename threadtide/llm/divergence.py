@@ -1,7 +1,7 @@
 """How far the sources of a language differ in their words, with late materialisation of strings.
 
 Terms are runs of ASCII letters and characters above U+007F, A-Z lower-cased. Shuffles carry 64-bit digests of
-terms, never the terms:
+terms, never the terms, and numbers for languages and groups:
 
 1. documents per (lang, digest), summed in the tasks first; digests in enough documents are kept. A digest that
    two terms share counts at least the documents of either, so no term is lost here.
@@ -26,7 +26,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,7 +35,7 @@ from threadtide.session import cut_lineage
 
 LEAST_DOCS, SMOOTHING, SCALE_STEPS, TOP = 30, 5, 3, 50  # shares are in units of 1000 ** -SCALE_STEPS
 BLOCK_BYTES, BLOCK_ROWS, LEAST_BLOCKS, TILE = 1 << 21, 1 << 15, 32, 1 << 20
-LEAST_BITS, MOST_BITS, TERMS_HELD = 1 << 16, 1 << 27, 1 << 20
+LEAST_BITS, MOST_BITS, TERMS_HELD, BATCH_ROWS = 1 << 16, 1 << 27, 1 << 19, 1 << 15
 TERM = np.full(256, 32, np.uint8)  # every other byte parts terms
 TERM[97:123], TERM[65:91], TERM[128:] = np.arange(97, 123), np.arange(97, 123), np.arange(128, 256)
 KEYS = ["lang", "source", "digest"]
@@ -46,13 +45,6 @@ def _digests(block: tn.Block, bits: int) -> np.ndarray:
     return (block.word_hashes() >> np.uint64(64 - bits)).view(np.int64)
 
 
-def _codes(*columns: pa.Array) -> tuple[np.ndarray, pd.DataFrame]:
-    """A number for each distinct row of the columns, and the distinct rows."""
-    frame = pd.DataFrame({i: c.to_pandas() for i, c in enumerate(columns)})
-    of = frame.groupby(list(frame.columns), sort=False).ngroup().to_numpy()
-    return of, frame.drop_duplicates()
-
-
 def _tally(code: np.ndarray, value: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
     """Per (code, value): code, value, how often, in how many rows. ``row`` ascends."""
     order = np.argsort(value, kind="stable")
@@ -68,24 +60,50 @@ def _tally(code: np.ndarray, value: np.ndarray, row: np.ndarray) -> tuple[np.nda
     return code[at], value[at], n, docs
 
 
-def _read(docs: DataFrame) -> DataFrame:
-    return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
+def _read(docs: DataFrame, salt: int = 0) -> DataFrame:
+    """``lang``, ``source``, ``text`` without NULLs, and numbers ``l`` and ``g`` for the language and the group."""
+    read = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
+    return read.withColumns({"l": F.xxhash64(F.lit(salt), "lang"), "g": F.xxhash64(F.lit(salt), "lang", "source")})
+
+
+def _groups(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Every (lang, source) with its numbers, and the salt of the numbers: the first under which all differ."""
+    bare = docs.select("lang", "source", F.lit("").alias("text"))
+    salt = 0
+    while True:
+        groups = cut_lineage(_read(bare, salt).select("lang", "source", "l", "g").distinct())
+        n = groups.agg(F.count("*"), F.countDistinct("g"), F.countDistinct("lang"), F.countDistinct("l")).first()
+        if n[0] == n[1] and n[2] == n[3]:
+            return groups, salt
+        salt += 1
+
+
+def _numbered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A small number for each row of a column of numbers, and the numbers they stand for."""
+    values, of = np.unique(column.to_numpy(), return_inverse=True)
+    return of.astype(np.int32), values
+
+
+def _batches(columns: dict[str, np.ndarray | pa.Array]) -> Iterator[pa.RecordBatch]:
+    """The columns in batches of bounded size."""
+    whole = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
+    for low in range(0, whole.num_rows, BATCH_ROWS):
+        yield whole.slice(low, BATCH_ROWS)
 
 
 def document_counts(docs: DataFrame, bits: int = 64) -> DataFrame:
-    """``lang``, ``digest``, ``docs``: documents of the language that hold a term of this digest."""
+    """``l``, ``digest``, ``docs``: documents of the language that hold a term of this digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, names = _codes(batch.column(0))
-            langs = pa.array(names[0], pa.string())
+            of, langs = _numbered(batch.column(0))
             for low, high, block in tn.blocks(batch.column(1), BLOCK_BYTES, TERM):
                 row = block.row_of_words()
-                code, digest, _, docs = _tally(of[low:high].astype(np.int32)[row], _digests(block, bits), row)
-                yield pa.RecordBatch.from_arrays([langs.take(pa.array(code)), pa.array(digest), pa.array(docs)], names=["lang", "digest", "docs"])
+                code, digest, _, docs = _tally(of[low:high][row], _digests(block, bits), row)
+                yield from _batches({"l": langs[code], "digest": digest, "docs": docs})
 
-    parts = docs.select("lang", "text").mapInArrow(run, "lang string, digest long, docs long")
-    return parts.groupBy("lang", "digest").agg(F.sum("docs").alias("docs"))
+    parts = docs.select("l", "text").mapInArrow(run, "l long, digest long, docs long")
+    return parts.groupBy("l", "digest").agg(F.sum("docs").alias("docs"))
 
 
 def bitmap(digests: DataFrame) -> np.ndarray:
@@ -108,14 +126,14 @@ def _among(digest: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 
 def group_counts(docs: DataFrame, some: np.ndarray, bits: int, split: bool) -> DataFrame:
-    """Counts of the terms whose digest ``some`` lets through: ``lang``, ``source``, ``digest``, ``n``, ``docs``; with
-    ``split`` by term as well as by digest, in a column ``term`` more."""
-    names = [*KEYS, "n", "docs"] + ["term"] * split
+    """Counts of the terms whose digest ``some`` lets through: ``l``, ``g``, ``digest``, ``n``, ``docs``; with ``split`` by
+    term as well as by digest, in a column ``term`` more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, groups = _codes(batch.column(0), batch.column(1))
-            langs, sources = (pa.array(groups[i], pa.string()) for i in (0, 1))
+            of, groups = _numbered(batch.column(1))
+            langs = np.zeros(len(groups), np.int64)
+            langs[of] = batch.column(0).to_numpy()
             for low, high, block in tn.blocks(batch.column(2), BLOCK_BYTES, TERM):
                 digest = _digests(block, bits)
                 hit = np.flatnonzero(_among(digest, some))
@@ -127,16 +145,13 @@ def group_counts(docs: DataFrame, some: np.ndarray, bits: int, split: bool) -> D
                     texts = block.words(hit).dictionary_encode()
                     value, text = texts.indices.to_numpy(), texts.dictionary.cast(pa.string())
                     digest = digest[np.unique(value, return_index=True)[1]]
-                code, value, n, docs = _tally(of[low:high].astype(np.int32)[row], value, row)
-                columns = [langs.take(pa.array(code)), sources.take(pa.array(code)),
-                           pa.array(digest[value] if split else value), pa.array(n), pa.array(docs)]
-                if split:
-                    columns.append(text.take(pa.array(value)))
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                code, value, n, docs = _tally(of[low:high][row], value, row)
+                columns = {"l": langs[code], "g": groups[code], "digest": digest[value] if split else value, "n": n, "docs": docs}
+                yield from _batches(columns | ({"term": text.take(pa.array(value))} if split else {}))
 
-    kinds = {"digest": "long", "n": "long", "docs": "long"}
-    parts = docs.select("lang", "source", "text").mapInArrow(run, ", ".join(f"{n} {kinds.get(n, 'string')}" for n in names))
-    return parts.groupBy(*KEYS, *["term"] * split).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    schema = "l long, g long, digest long, n long, docs long" + ", term string" * split
+    parts = docs.select("l", "g", "text").mapInArrow(run, schema)
+    return parts.groupBy("l", "g", "digest", *["term"] * split).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def digest_texts(docs: DataFrame, some: np.ndarray, bits: int) -> DataFrame:
@@ -148,7 +163,7 @@ def digest_texts(docs: DataFrame, some: np.ndarray, bits: int) -> DataFrame:
         def handed() -> Iterator[pa.RecordBatch]:
             texts = pa.concat_arrays(terms).dictionary_encode()
             first = np.unique(texts.indices.to_numpy(), return_index=True)[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(digests)[first]), texts.dictionary.cast(pa.string())], names=["digest", "term"])
+            yield from _batches({"digest": np.concatenate(digests)[first], "term": texts.dictionary.cast(pa.string())})
 
         for batch in batches:
             for _, _, block in tn.blocks(batch.column(0), BLOCK_BYTES, TERM):
@@ -168,22 +183,25 @@ def digest_texts(docs: DataFrame, some: np.ndarray, bits: int) -> DataFrame:
     return parts.groupBy("digest").agg(F.min("term").alias("low"), F.max("term").alias("high"))
 
 
-def kept_counts(docs: DataFrame, least_docs: int = LEAST_DOCS, bits: int = 64) -> tuple[DataFrame, DataFrame]:
-    """``lang``, ``source``, ``digest``, ``term``, ``n`` of the kept terms that occur in a group, and ``digest``,
-    ``text``. ``term`` is NULL but for the terms that share a digest with another one."""
-    docs = _read(docs)
-    known = cut_lineage(document_counts(docs, bits).where(F.col("docs") >= least_docs).select("lang", "digest"))
+def kept_counts(docs: DataFrame, least_docs: int = LEAST_DOCS, bits: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``lang``, ``source``, ``digest``, ``term``, ``n`` of the kept terms that occur in a group; ``digest``, ``text``; and
+    every ``lang``, ``source``. ``term`` is NULL but for the terms that share a digest with another one."""
+    groups, salt = _groups(docs)
+    docs = _read(docs, salt)
+    known = cut_lineage(document_counts(docs, bits).where(F.col("docs") >= least_docs).select("l", "digest"))
     some = bitmap(known)
     texts = cut_lineage(digest_texts(docs, some, bits).join(known.select("digest").distinct(), "digest"))
     mixed = cut_lineage(texts.where("low <> high").select("digest"))
-    clean = group_counts(docs, some, bits, split=False).join(known, ["lang", "digest"]).select(
-        *KEYS, F.lit(None).cast("string").alias("term"), "n")
+    clean = group_counts(docs, some, bits, split=False).join(known, ["l", "digest"]).select(
+        "g", "digest", F.lit(None).cast("string").alias("term"), "n")
     if not mixed.isEmpty():
-        by_term = cut_lineage(group_counts(docs, bitmap(mixed), bits, split=True).join(mixed, "digest").select(*KEYS, "term", "n", "docs"))
-        enough = by_term.groupBy("lang", "digest", "term").agg(F.sum("docs").alias("all")).where(F.col("all") >= least_docs)
-        again = by_term.join(enough.drop("all"), ["lang", "digest", "term"]).select(*KEYS, "term", "n")
-        clean = clean.join(mixed, "digest", "left_anti").select(*KEYS, "term", "n").unionByName(again)
-    return cut_lineage(clean), texts.where("low = high").select("digest", F.col("low").alias("text"))
+        by_term = cut_lineage(group_counts(docs, bitmap(mixed), bits, split=True).join(mixed, "digest").select(
+            "l", "g", "digest", "term", "n", "docs"))
+        enough = by_term.groupBy("l", "digest", "term").agg(F.sum("docs").alias("all")).where(F.col("all") >= least_docs)
+        again = by_term.join(enough.drop("all"), ["l", "digest", "term"]).select("g", "digest", "term", "n")
+        clean = clean.join(mixed, "digest", "left_anti").select("g", "digest", "term", "n").unionByName(again)
+    counts = cut_lineage(clean.join(groups.drop("l"), "g").select(*KEYS, "term", "n"))
+    return counts, texts.where("low = high").select("digest", F.col("low").alias("text")), groups.select("lang", "source")
 
 
 def share(count: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -230,13 +248,12 @@ def _pair_sums(groups: pa.Table, terms: pa.Table) -> pa.Table:
 def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, bits: int = 64) -> DataFrame:
     """``lang``, ``source``, ``part``, ``item``, ``value``, ``rank``. Part ``pair``: every other source of the language
     by the summed difference of their shares; part ``term``: the ``top`` terms whose share lies most above the language's."""
-    counts, texts = kept_counts(docs, least_docs, bits)
+    counts, texts, named = kept_counts(docs, least_docs, bits)
     of_lang = counts.groupBy("lang").agg(F.sum("n").alias("lang_n"))
     terms_of = counts.select("lang", "digest", "term").distinct().groupBy("lang").agg(F.count("*").alias("kept"))
     sizes = counts.groupBy("lang", "source").agg(F.sum("n").alias("group_n"))
     groups = cut_lineage(
-        _read(docs.select("lang", "source", F.lit(None).alias("text"))).select("lang", "source").distinct()
-        .join(terms_of.join(of_lang, "lang"), "lang", "left").join(sizes, ["lang", "source"], "left")
+        named.join(terms_of.join(of_lang, "lang"), "lang", "left").join(sizes, ["lang", "source"], "left")
         .select("lang", "source",
                 # 1 instead of 0 where nothing is kept, and so nothing is divided
                 F.greatest(F.coalesce("group_n", F.lit(0)) + SMOOTHING * F.coalesce("kept", F.lit(0)), F.lit(1)).alias("total"),
