@@ -15,7 +15,7 @@ from threadtide.operators.skew import join_hot
 from threadtide.session import cut_lineage, fresh_path
 from threadtide.sources.schemas import COUNTERS, JSON_DEPTH
 
-LEVELS, DEEPER = 6, 24  # of replies that the first pass unfolds, and each later one
+LEVELS = 6  # of replies that one pass unfolds; the analyser resolves lambdas nested so deep, not many more
 
 
 def _replies(posts: DataFrame) -> Column:
@@ -56,7 +56,7 @@ def _below(replies: Column, parent_id: Column, parent_user: Column, path: Column
 def flatten_threads(posts: DataFrame) -> DataFrame:
     """One row per post, comment and reply with its parent's id and the author of the file.
 
-    Replies are parsed once, into a VARIANT, and unfold ``LEVELS`` levels in the first pass, ``DEEPER`` in later ones, without shuffles; each pass is a written
+    Replies are parsed once, into a VARIANT, and unfold ``LEVELS`` levels in a pass without shuffles; each pass is a written
     stage, and only replies nested deeper wait for the next one. ``path`` holds the sibling positions below the post and
     gives the pre-order.
     """
@@ -80,7 +80,7 @@ def flatten_threads(posts: DataFrame) -> DataFrame:
         waiting = level.where(F.try_variant_get("_below", "$[0]", "variant").isNotNull())
         if waiting.isEmpty():
             return posts.sparkSession.read.schema(schema).parquet(path).drop("level", "_below")
-        more = _below(F.col("_below"), F.col("id"), F.col("username"), F.col("path"), DEEPER)
+        more = _below(F.col("_below"), F.col("id"), F.col("username"), F.col("path"), LEVELS)
         level = waiting.select(*keep, F.explode(more).alias("_r")).select(*keep, "_r.*")
 
 
