@@ -15,7 +15,7 @@ from threadtide.operators.skew import join_hot
 from threadtide.session import cut_lineage, fresh_path
 from threadtide.sources.schemas import COUNTERS, JSON_DEPTH
 
-LEVELS = 6  # of replies that one pass unfolds; the analyser resolves lambdas nested so deep, not many more
+LEVELS = 3  # of replies that one pass unfolds; the analyser takes long over lambdas that are nested deeper
 
 
 def _replies(posts: DataFrame) -> Column:
