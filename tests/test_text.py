@@ -100,3 +100,39 @@ def test_validator_on_hyphens(spark):
     got = {r["id"]: r["reason"] for r in quality.cleaning_errors(rows, "id", ["c"]).collect()}
     mark = "Contains punctuation/special chars/apostrophes"
     assert got == {1: mark, 2: mark, 6: "Contains uppercase"}
+
+
+# ------------------------------------------------------------------------------- emojis at size
+
+EMOJI_TEXTS = [
+    "plain", "", None, "naïve Größe Ωδη Привет 日本語 カナ — “x” … #1 *2", "😂😂 a 👩‍👩‍👧 b 👍🏽", "🇩🇪🇫🇷🇦", "1️⃣ #⃣ *️⃣ 1️ 2",
+    "🏴\U000e0067\U000e0062\U000e0065\U000e006e\U000e0067\U000e007f and 🏴", "©®‼™ℹ↔⌚⏩Ⓜ▪☀✂⤴⬅⭐〰〽㊗㊙ 🀄🃏🅰🈁🉐🌀🟠🟰🪀", "❤️‍🔥 _x_ ❤",
+]
+
+
+def test_fast_emoji_pattern_finds_what_the_plain_one_finds(spark):
+    df = spark.createDataFrame([(t,) for t in EMOJI_TEXTS], "t string")
+    found = lambda p: F.regexp_extract_all("t", F.lit(p), F.lit(0))
+    rows = df.select(found(tx.EMOJI_SEQUENCE).alias("plain"), found(tx.EMOJI_FAST).alias("fast"),
+                     tx.emoji_count(F.col("t")).alias("n")).collect()
+    for r in rows:
+        assert r["fast"] == r["plain"] and r["n"] == (None if r["plain"] is None else len(r["plain"]))
+
+
+def test_every_emoji_sign_is_in_the_hint(spark):
+    signs = spark.range(0x110000).where("id NOT BETWEEN 55296 AND 57343").select(
+        F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    lost = signs.where(F.col("c").rlike(f"[{tx.EMOJI_SIGNS}]") & ~F.col("c").rlike(tx.EMOJI_HINT))
+    assert signs.where(F.col("c").rlike(f"[{tx.EMOJI_SIGNS}]")).count() > 1000 and lost.count() == 0
+
+
+def test_counting_emojis_costs_little_on_letters(spark):
+    """Every character was tried on each of more than a hundred ranges: some 2 s a MB."""
+    import time
+
+    letters = F.concat(F.repeat(F.lit("plain letters und Größe "), 60_000), F.col("id").cast("string"))
+    count = lambda: spark.range(4).select(letters.alias("t")).agg(F.sum(tx.emoji_count(F.col("t")))).collect()
+    count()
+    start = time.time()
+    count()
+    assert time.time() - start < 2
