@@ -69,6 +69,12 @@ def quantised(df: DataFrame, features: Sequence[str], bins: int = 32) -> DataFra
         *[F.col(f"_{c}").alias(c) if c in set(features) else F.col(c) for c in df.columns])
 
 
+def folded(df: DataFrame, columns: Sequence[str], weight: str = "_weight") -> DataFrame:
+    """Rows that are equal in all the columns as one row with their number. Quantised rows fold to as many as there are
+    different combinations of bins, however many rows there are."""
+    return df.groupBy(*columns).agg(F.count("*").cast("double").alias(weight))
+
+
 # ------------------------------------------------------------------------------- clustering
 
 def kmeans_best(df: DataFrame, vector: str, k: int = 2, restarts: int = 10, seed: int = 42):
@@ -141,18 +147,21 @@ def assembled(features: Sequence[str]) -> list:
 
 
 def gbt_pipeline(features: Sequence[str], label: str, rounds: int = 200, depth: int = 6, rate: float = 0.05,
-                 validation: str | None = None, seed: int = 42) -> Pipeline:
+                 validation: str | None = None, seed: int = 42, weight: str | None = None) -> Pipeline:
     """M4: standardised features and boosted trees, stopped early on the validation rows when marked."""
     gbt = GBTClassifier(labelCol=label, featuresCol="features", stepSize=rate, maxDepth=depth, maxIter=rounds,
                         subsamplingRate=0.8, minInstancesPerNode=3, seed=seed)
     if validation:
         gbt = gbt.setValidationIndicatorCol(validation)
+    if weight:
+        gbt = gbt.setWeightCol(weight)
     return Pipeline(stages=[*assembled(features), gbt])
 
 
-def forest_pipeline(features: Sequence[str], label: str, trees: int = 100, depth: int = 6, seed: int = 42) -> Pipeline:
-    return Pipeline(stages=[*assembled(features), RandomForestClassifier(
-        labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed)])
+def forest_pipeline(features: Sequence[str], label: str, trees: int = 100, depth: int = 6, seed: int = 42,
+                    weight: str | None = None) -> Pipeline:
+    forest = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed)
+    return Pipeline(stages=[*assembled(features), forest.setWeightCol(weight) if weight else forest])
 
 
 def with_score(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -184,10 +193,15 @@ def train_classifier(df: DataFrame, features: Sequence[str], label: str, key: st
 
 def better_of(df: DataFrame, features: Sequence[str], label: str, key: str, rounds: int = 100, trees: int = 100,
               depth: int = 6) -> DataFrame:
-    """M5: random forest against boosted trees on the same split, fitted side by side; ``kept`` marks the better accuracy."""
-    parts = cut_lineage(stratified_split(df, label, key, {"train": 0.8, "test": 0.2}))
-    pipes = {"gbt": gbt_pipeline(features, label, rounds, depth), "forest": forest_pipeline(features, label, trees, depth)}
-    with held(parts.where("part = 'train'")) as train:
+    """M5: random forest against boosted trees on the same split, fitted side by side; ``kept`` marks the better accuracy.
+
+    The fits scan the training rows folded by their bins, with the number of rows as weight.
+    """
+    split = stratified_split(df, label, key, {"train": 0.8, "test": 0.2}).select("part", label, *features)
+    parts = cut_lineage(quantised(cut_lineage(split).na.drop(subset=list(features)), features))
+    pipes = {"gbt": gbt_pipeline(features, label, rounds, depth, weight="_weight"),
+             "forest": forest_pipeline(features, label, trees, depth, weight="_weight")}
+    with held(folded(parts.where("part = 'train'"), [label, *features])) as train:
         def one(name: str) -> DataFrame:
             scored = with_score(pipes[name].fit(train), parts.where("part = 'test'"))
             return cut_lineage(test_metrics(scored, label).withColumn("model", F.lit(name)))
@@ -200,13 +214,17 @@ def better_of(df: DataFrame, features: Sequence[str], label: str, key: str, roun
 
 def cross_validated(df: DataFrame, features: Sequence[str], label: str, key: str, folds: int = 5,
                     rounds: int = 100, depth: int = 6) -> DataFrame:
-    """M6: mean and population deviation of the accuracy over hash folds, fitted side by side on one table."""
+    """M6: mean and population deviation of the accuracy over hash folds, fitted side by side on one table.
+
+    A fit scans its rows folded by their bins, with the number of rows as weight; the accuracy is that of single rows.
+    """
     lead = F.conv(F.substring(hash_key(key), 1, 8), 16, 10).cast("bigint")
-    rows = cut_lineage(df.withColumn("_fold", F.pmod(lead, F.lit(folds))))
+    kept = df.na.drop(subset=list(features)).select(F.pmod(lead, F.lit(folds)).alias("_fold"), label, *features)
+    rows = cut_lineage(quantised(cut_lineage(kept), features))
 
     def one(i: int) -> DataFrame:
-        with held(rows.where(F.col("_fold") != i)) as train:
-            model = gbt_pipeline(features, label, rounds, depth).fit(train)
+        with held(folded(rows.where(F.col("_fold") != i), [label, *features])) as train:
+            model = gbt_pipeline(features, label, rounds, depth, weight="_weight").fit(train)
         pred = evaluate.predicted(with_score(model, rows.where(F.col("_fold") == i)), "score", 0.5)
         return cut_lineage(evaluate.binary_metrics(pred, label, "predicted").select("accuracy"))
 
@@ -242,7 +260,7 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
     """AUC lost when a feature is permuted, and the direction of its effect.
 
     Rows are numbered once in random order; each row borrows the features of the next row. One pass
-    scores every row once per feature with that feature borrowed.
+    scores every row once per feature with that feature borrowed, and is written as the rows per score.
     """
     numbered = global_row_number(df.select(key, label, *features), [hash_key(key), F.col(key)], "_r")
     donors = numbered.select(
@@ -252,8 +270,9 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
     swapped = rows.withColumns({
         f: F.when(F.col("permuted") == f, F.col("_d")[f]).otherwise(F.col(f)) for f in features})
     scored = with_score(model, swapped.select(key, label, "permuted", *features))
-    aucs = rank_statistics(scored, "score", F.col(label) == 1, ["permuted"]).select(
-        "permuted", ((F.col("delta") + 1) / 2).alias("auc"))
+    counts = cut_lineage(scored.groupBy("permuted", label, "score").agg(F.count("*").alias("_n")))
+    aucs = cut_lineage(rank_statistics(counts, "score", F.col(label) == 1, ["permuted"], F.col("_n")).select(
+        "permuted", ((F.col("delta") + 1) / 2).alias("auc")))
     base = aucs.where("permuted = 'none'").select("auc").scalar()
     plain = with_score(model, df).agg(*[F.corr(f, "score").alias(f) for f in features])
     signs = plain.select(F.explode(F.array(*[

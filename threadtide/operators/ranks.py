@@ -46,9 +46,11 @@ def ordered_counts(
     by: Sequence[str] = (),
     sums: dict[str, Column] | None = None,
     buckets: int | None = None,
+    rows: Column | None = None,
 ) -> DataFrame:
     """One row per distinct (by, value) with ``n``, the sums, and for each of them ``<x>_before``
-    (total over smaller values of the group) and ``<x>_total``. NULL and NaN values are left out."""
+    (total over smaller values of the group) and ``<x>_total``. NULL and NaN values are left out. ``n`` counts rows, or
+    adds up how many ``rows`` each stands for."""
     by = list(by)
     sums = sums or {}
     buckets = buckets or bucket_count(df.sparkSession)
@@ -56,7 +58,7 @@ def ordered_counts(
     counts = (
         df.where(v.isNotNull() & ~F.isnan(v))
         .groupBy(*by, v.alias(value))
-        .agg(F.count("*").alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
+        .agg((F.count("*") if rows is None else F.sum(rows)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
     )
     grid = ", ".join(f"{i / buckets}D" for i in range(1, buckets))
     cuts = counts.agg(F.expr(f"percentile_approx(`{value}`, array({grid}), {4 * buckets})")).scalar()

@@ -13,11 +13,14 @@ from threadtide.operators.skew import join_hot
 from threadtide.session import cut_lineage
 
 
-def rank_statistics(df: DataFrame, value: str, first: Column, by: Sequence[str] = ()) -> DataFrame:
-    """Per group: sizes, means, U of the ``first`` sample, tie term, z, one-sided p and Cliff's delta."""
+def rank_statistics(df: DataFrame, value: str, first: Column, by: Sequence[str] = (), rows: Column | None = None) -> DataFrame:
+    """Per group: sizes, means, U of the ``first`` sample, tie term, z, one-sided p and Cliff's delta. ``rows`` says how many
+    rows a folded row stands for."""
     by = list(by)
-    flagged = df.select(*by, F.col(value).cast("double").alias("_v"), first.cast("bigint").alias("_one"))
-    counts = ordered_counts(flagged.where(F.col("_one").isNotNull()), "_v", by, {"k": F.col("_one")})
+    rows = F.lit(1).cast("bigint") if rows is None else rows
+    flagged = df.select(*by, F.col(value).cast("double").alias("_v"), first.cast("bigint").alias("_one"), rows.alias("_rows"))
+    counts = ordered_counts(flagged.where(F.col("_one").isNotNull()), "_v", by, {"k": F.col("_one") * F.col("_rows")},
+                            rows=F.col("_rows"))
     return rank_statistics_of(counts, "_v", by)
 
 
