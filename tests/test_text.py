@@ -136,3 +136,21 @@ def test_counting_emojis_costs_little_on_letters(spark):
     start = time.time()
     count()
     assert time.time() - start < 2
+
+
+def test_reasons_are_told_once(spark):
+    """A filter on the reasons made the plan tell them twice."""
+    df = spark.createDataFrame([(1, "Bad  one"), (2, "good"), (3, None), (4, "  x"), (5, "a\u00a0"), (6, "7 ok")], "id int, t string")
+    out = quality.cleaning_errors(df, "id", ["t"])
+    assert {r["id"]: r["reason"] for r in out.collect()} == {
+        1: "Contains uppercase; Contains double spaces", 4: "Leading/Trailing whitespace; Contains double spaces",
+        5: "Contains punctuation/special chars/apostrophes; Leading/Trailing whitespace"}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"[^a-z \p{L}") == 1
+
+
+@pytest.mark.parametrize("keep", [True, False])
+def test_slang_keys_stay_in_line(spark, keep):
+    strip = cl.SLANG_KEY_TOPICS.replace("-", "")
+    assert one(spark, "a -- u ~~ b", cl.translate_slang(strip, keep)).split() == (
+        ["a", "--", "you", "~~", "b"] if keep else ["a", "you", "b"])
