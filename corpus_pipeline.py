@@ -11,16 +11,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadtide.llm import decontam, langid, mixing, simhash, tokens
-from threadtide.session import cut_lineage
+from threadtide.session import bounded_batches, cut_lineage
 
 #: A document is rejected when no language is found or the calibrated probability of the best is lower.
 LEAST_LANGUAGE_SCORE = 0.5
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
 def _row(docs: DataFrame) -> Column:
     return F.struct(*[docs[c] for c in docs.columns])
 
 
+def _small_batches(stage: Stage) -> Stage:
+    """Whole documents go through Python in every stage, in batches that leave an executor its memory."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is recognised; NULL texts and texts without letters go."""
     told = langid.identify(docs, langid.fit(docs), _row(docs))
@@ -49,14 +62,13 @@ def training_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return tokens.training_order(docs)
 
 
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = [
+STAGES: list[tuple[str, Stage]] = [(name, _small_batches(stage)) for name, stage in [
     ("language_id", language),
     ("simhash_near_dedup", near_duplicates),
     ("benchmark_decontamination", decontaminate),
     ("source_mixing", mixture),
     ("token_output", training_order),
-]
+]]
 
 #: SQL can neither fit the classifier nor tokenise; tests/llm compares with a brute-force version.
 ORACLE_SQL = None

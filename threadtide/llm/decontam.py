@@ -28,6 +28,7 @@ from threadtide.llm import textnum as tn
 from threadtide.session import cut_lineage
 
 SEED, COVERAGE, BLOCK_WORDS, FILTER_BITS = 5, 0.5, 1_000_000, 20
+BLOCK_BYTES = 1 << 18  # of texts at once; hashes and their powers take some hundred times as much
 PLAIN = np.arange(256, dtype=np.uint8)
 PLAIN[:128] = [b if chr(b).isalnum() else 32 for b in range(128)]
 PLAIN[65:91] += 32
@@ -45,7 +46,7 @@ def benchmark_words(benchmark: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, block in tn.blocks(batch.column(1)):
+            for low, high, block in tn.blocks(batch.column(1), BLOCK_BYTES):
                 words, first = _hashes(block)
                 cut = [words[a:b] for a, b in zip(first[:-1], first[1:])]
                 yield pa.RecordBatch.from_arrays(
@@ -160,7 +161,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float =
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = held.value
             for batch in batches:
-                for low, high, block in tn.blocks(batch.column(1)):
+                for low, high, block in tn.blocks(batch.column(1), BLOCK_BYTES):
                     found = list(_matches(block, index, coverage))
                     if found:
                         rows, items, covered = zip(*found)
@@ -189,7 +190,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, carry: Column, coverage: float
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                for low, _, block in tn.blocks(batch.column(1)):
+                for low, _, block in tn.blocks(batch.column(1), BLOCK_BYTES):
                     for row, _, _ in _matches(block, held.value, coverage):
                         keep[low + row] = False
                 yield batch.filter(pa.array(keep))

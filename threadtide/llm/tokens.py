@@ -179,8 +179,9 @@ def write_training_order(
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = Packing(held.value).unpack
         for batch in batches:
-            bodies = pa.array([unpack(b) for b in batch.column(2).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bodies], names=["shard", "slot", "body"])
+            for part in (batch.slice(low, SLICE_ROWS) for low in range(0, batch.num_rows, SLICE_ROWS)):
+                bodies = pa.array([unpack(b) for b in part.column(2).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), bodies], names=["shard", "slot", "body"])
 
     moved = slotted.select("shard", "slot", "body").repartitionByRange("shard")
     records = moved.mapInArrow(raw, "shard long, slot long, body binary").sortWithinPartitions("shard", "slot")
