@@ -44,3 +44,14 @@ def test_values_of_real_texts(spark):
     lsa, values = vectors.svd_project(docs, "doc_id", "text", 50, 1000)
     assert np.allclose(values, np.linalg.svd(a, compute_uv=False)[:50], rtol=1e-6)
     assert lsa.count() == full.sum() and len(lsa.first()["lsa"]) == 50
+
+
+def test_the_norm_of_a_row_is_worked_out_once(spark):
+    docs = spark.createDataFrame([(1, "aa bb bb"), (2, "bb cc " * 3), (2, "aa"), (None, "cc dd"), (None, "dd"), (3, None)], "k long, t string")
+    rows, names = vectors.unit_rows(docs, "k", "t")
+    assert "aggregate(" not in rows._jdf.queryExecution().optimizedPlan().toString()  # for every cell of a row, it would be
+    idf = {t: np.log(7 / (n + 1)) + 1 for t, n in {"aa": 2, "bb": 2, "cc": 2, "dd": 1}.items()}
+    for r in rows.collect():
+        tf = {1: {"aa": 1, "bb": 2}, 2: {"aa": 1, "bb": 3, "cc": 3}, None: {"cc": 1, "dd": 2}}[r["k"]]
+        w = np.array([tf[t] * idf[t] for t in sorted(tf)])
+        assert [names[i] for i in r["at"]] == sorted(tf) and np.allclose(r["w"], w / np.linalg.norm(w))

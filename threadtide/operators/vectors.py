@@ -140,11 +140,12 @@ def unit_rows(df: DataFrame, key: str, text: str, features: int = 5000) -> tuple
     names = vocabulary(df, counts, features).orderBy("term").collect()
     places = F.broadcast(df.sparkSession.createDataFrame(
         [(t["term"], i, float(t["idf"])) for i, t in enumerate(names)], "term string, at int, idf double"))
-    cell = F.struct("at", (F.col("tf") * F.col("idf")).alias("w"))
-    cells = counts.join(places, "term").groupBy(key).agg(F.array_sort(F.collect_list(cell)).alias("cells"))  # a vocabulary at most
-    norm_ = F.sqrt(F.aggregate("cells", F.lit(0.0), lambda a, c: a + c["w"] * c["w"]))
-    return cells.select(key, F.transform("cells", lambda c: c["at"]).alias("at"),
-                        F.transform("cells", lambda c: c["w"] / norm_).alias("w")), [t["term"] for t in names]
+    cell = counts.join(places, "term").select(key, "at", (F.col("tf") * F.col("idf")).alias("w"))
+    # the norm is summed beside the cells: inside the lambda it would be worked out anew for every cell of a row
+    rows = cell.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "w"))).alias("cells"),  # a vocabulary at most
+                                 F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
+    return rows.select(key, F.col("cells.at").alias("at"),
+                       F.transform("cells.w", lambda w: w / F.col("_norm")).alias("w")), [t["term"] for t in names]
 
 
 def svd_project(df: DataFrame, key: str, text: str, dims: int, features: int = 5000) -> tuple[DataFrame, list[float]]:
